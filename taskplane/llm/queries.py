@@ -16,6 +16,24 @@ def held_out(doc_id, modulus: int, remainder: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"), lambda doc_id: ~held_out(doc_id, 7, 2))
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_report
 
@@ -30,6 +48,21 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = score_toxicity(docs, labels, lambda doc_id: ~held_out(doc_id, 3, 1))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
+
+
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .surrogates import replace_entities
+
+    out = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.size("__entities").alias("n_entities"), F.transform("__entities", lambda e: e["kind"]).alias("kinds"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts with an empty cache of its own, so that the whole table is counted."""
     import public_tokenizers
@@ -48,7 +81,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_mixing, op6_bpe, op9_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_nearest_neighbours, op2_katz, op3_near_duplicates, op5_mixing, op6_bpe, op7_toxicity, op8_surrogates, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
