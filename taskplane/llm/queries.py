@@ -34,6 +34,14 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts as byte tokens; the shards are written to the shared folder."""
+    from .scratch import Scratch
+    from .training_order import write_order
+
+    return write_order(table(spark, sf_dir, "documents"), Scratch(spark, "shards").path, key=20240229)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_report
 
@@ -81,7 +89,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest_neighbours, op2_katz, op3_near_duplicates, op5_mixing, op6_bpe, op7_toxicity, op8_surrogates, op9_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_nearest_neighbours, op2_katz, op3_near_duplicates, op4_training_order, op5_mixing, op6_bpe, op7_toxicity, op8_surrogates, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
