@@ -301,8 +301,9 @@ def learn(labelled: DataFrame) -> Model | None:
     return model
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from, threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, score (0 to 1) and predicted (score >= threshold).
+def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from, threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS, keep: list[str] | None = None) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, score (0 to 1) and predicted (score >= threshold); with ``keep``, these
+    columns of docs, ``__score`` and ``__predicted``.
 
     ``labels`` has (doc_id, toxic); ``learn_from`` maps its doc_id column to the condition for learning from a row. Of these at
     most ``sample_rows`` are used, the least by a hash of doc_id; a doc_id with several labels counts as toxic if one says so, null
@@ -322,11 +323,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from, threshold: fl
     model = learn(labelled)
     rate = 0.0 if model else float(labelled.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0])
 
+    kept, (score_name, predicted_name) = (["doc_id"], ("score", "predicted")) if keep is None else (keep, ("__score", "__predicted"))
+    rows = docs.select(F.col("text").alias("__text"), *([F.col("doc_id").cast("long").alias("doc_id")] if keep is None else [F.col(f"`{c}`") for c in keep]))
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = model.score(features(batch.column(1), model.lexicon, model.weights)) if model else np.full(batch.num_rows, rate)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
+            s = model.score(features(batch.column(0), model.lexicon, model.weights)) if model else np.full(batch.num_rows, rate)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s, pa.float64())], names=[*kept, score_name])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    out = rows.mapInArrow(score, f"{schema}, {score_name} double")
     scratch.drop("sample")
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return out.withColumn(predicted_name, (F.col(score_name) >= threshold).cast("int"))
