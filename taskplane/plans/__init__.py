@@ -1,0 +1,5 @@
+"""Graphs of task types and the engine that runs them."""
+
+from .engine import Engine, Fatal, Report, Retryable, different_attr, different_instance, same_instance
+
+__all__ = ["Engine", "Fatal", "Report", "Retryable", "different_attr", "different_instance", "same_instance"]
