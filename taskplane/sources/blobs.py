@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:
-    """One file or all files below a folder; key is the path below it (the file's name for one file)."""
+    """One file or all files below a folder; key is the path below it (the file's name for one file).
+    Spark's reader leaves out files without bytes."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     root = path.split("://", 1)[-1].strip("/")
     inside = F.substring_index("path", f"{root}/", -1)
