@@ -92,5 +92,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_nearest_neighbours, op2_katz, op3_near_duplicates, op4_training_order, op5_mixing, op6_bpe, op7_toxicity, op8_surrogates, op9_token_counts, op10_quality_rules)}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Only for op3: the other operators are random by hash, learned, approximate, or need a tokenizer's rules.
+NEAR_DUPLICATES = f"""WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+   ELSE list_sort(list_distinct(list_transform(generate_series(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 3], ' ')))) END AS sh FROM w),
+ u AS (SELECT doc_id, unnest(sh) AS g FROM s),
+ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS (SELECT x, y FROM p JOIN s sa ON sa.doc_id = x JOIN s sb ON sb.doc_id = y WHERE 100 * n >= 80 * (len(sa.sh) + len(sb.sh) - n)),
+ e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+ r(doc_id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id WHERE r.c < e.y),
+ m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept,
+  CASE WHEN len(sh) = 0 THEN s.doc_id ELSE min(s.doc_id) OVER (PARTITION BY sh) END AS class_id FROM s JOIN m USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_near_duplicates": NEAR_DUPLICATES}
