@@ -63,8 +63,8 @@ MOST_ROUNDS = 40
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once."""
-    return F.transform(F.array(value), body)[0]
+    """body(value) with value computed once. The inner function has one parameter: a second one would be bound to an index."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
 
 
 def _chars(s: Column) -> Column:
