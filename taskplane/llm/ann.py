@@ -20,10 +20,12 @@ from .scratch import Scratch
 
 #: Rows that the centroids are fitted on (the least by a hash of vec_id), most lists, rounds of k-means.
 FIT_ROWS, MOST_LISTS, FIT_ROUNDS = 16_384, 4096, 12
-#: Share of the lists that a query probes (8 at least): see the README for the recall measured with it.
-PROBE = 0.7
+#: Recall that the number of probed lists is set for, on as many rows of the sample as queries.
+RECALL, TRIALS = 0.96, 256
 #: Vectors of a segment and queries of a block: what one step of the scan holds.
-SEGMENT, QUERIES = 2048, 512
+SEGMENT, QUERIES = 2048, 1024
+#: Partial answers that a task joins at a time.
+FLUSH = 100_000
 #: Column blocks end at these dimensions (fixed values) and at the last one; the test's tolerance.
 BLOCKS, EPSILON = (16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024, 1536, 2048, 3072, 4096), 2.1
 
@@ -33,9 +35,10 @@ def rotation(d: int, seed: int = 5) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def lift(x: np.ndarray, most: float, turn: np.ndarray) -> np.ndarray:
-    """Rotated vectors with the dimension that makes all of one length."""
-    rest = np.sqrt(np.maximum(most**2 - np.einsum("ij,ij->i", x, x), 0))
+def lift(x: np.ndarray, most: float | None, turn: np.ndarray) -> np.ndarray:
+    """Rotated vectors with one more dimension: what makes all of one length, or 0 for queries (most is None). The distance of a
+    query and a vector is then |q|^2 + most^2 - 2 q.x."""
+    rest = np.zeros(len(x)) if most is None else np.sqrt(np.maximum(most**2 - np.einsum("ij,ij->i", x, x), 0))
     return np.hstack([x, rest[:, None]]) @ turn
 
 
@@ -62,6 +65,27 @@ def nearest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def probes_for(sample: np.ndarray, lifted: np.ndarray, centroids: np.ndarray, turn: np.ndarray, k: int, recall: float) -> int:
+    """Lists to probe so that ``recall`` of the sample's own nearest neighbours stand in them. Among more rows the neighbours are
+    nearer, so that this errs on the side of too many."""
+    n = len(sample)
+    if recall >= 1:
+        return len(centroids)
+    asked = np.linspace(0, n - 1, min(n, TRIALS)).astype(int)
+    scores = sample[asked] @ sample.T
+    scores[np.arange(asked.size), asked] = -np.inf
+    k = min(k, n - 1)
+    if k < 1:
+        return len(centroids)
+    near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    home = nearest(lifted, centroids, 1)[:, 0]
+    order = nearest(lift(sample[asked], None, turn), centroids, len(centroids))
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(len(centroids))[None].repeat(asked.size, axis=0), axis=1)
+    needed = np.sort(np.take_along_axis(place, home[near], axis=1).ravel())
+    return int(needed[min(needed.size - 1, int(np.ceil(recall * needed.size)))]) + 1
+
+
 def scan(queries: np.ndarray, columns: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, candidate) pairs that survive the tests; ``columns`` has a row for each dimension."""
     d, n = columns.shape
@@ -100,7 +124,7 @@ def usable_vectors(table: DataFrame) -> DataFrame:
     return rows.where(F.size("vec") == (common["d"] if common else -1))
 
 
-def search(table: DataFrame, k: int = 20, is_query=lambda vec_id: vec_id % 20 == 0, probe: float = PROBE) -> DataFrame:
+def search(table: DataFrame, k: int = 20, is_query=lambda vec_id: vec_id % 20 == 0, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row its k nearest other rows, nearest first, ties to smaller ids.
 
     ``table`` has (vec_id, embedding). Rows that ``usable_vectors`` leaves out take no part; a repeated (vec_id, embedding) counts once,
@@ -137,8 +161,9 @@ def search(table: DataFrame, k: int = 20, is_query=lambda vec_id: vec_id % 20 ==
 
     most = vectors.select("vec").mapInArrow(norms, "m double").agg(F.max("m")).first()[0] * (1 + 1e-12)
     turn = rotation(d + 1)
-    centroids = k_means(lift(sample, most, turn), int(np.clip(round(np.sqrt(n)), 1, MOST_LISTS)))
-    probes = int(min(len(centroids), max(8, np.ceil(probe * len(centroids)))))
+    lifted = lift(sample, most, turn)
+    centroids = k_means(lifted, int(np.clip(round(np.sqrt(n) / 2), 1, MOST_LISTS)))
+    probes = probes_for(sample, lifted, centroids, turn, k, recall)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +172,7 @@ def search(table: DataFrame, k: int = 20, is_query=lambda vec_id: vec_id % 20 ==
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = nearest(lift(_matrix(batch.column(0)), most, turn), centroids, probes) if batch.num_rows else np.zeros((0, probes), np.int64)
+            at = nearest(lift(_matrix(batch.column(0)), None, turn), centroids, probes) if batch.num_rows else np.zeros((0, probes), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(list(at.astype(np.int32)), pa.list_(pa.int32())), *batch.columns], names=["lists", "vec", "query"])
 
     assigned = scratch.write(vectors.select("vec", "ids").mapInArrow(assign, "list int, vec binary, ids array<long>"), "assigned")
@@ -164,7 +189,7 @@ def search(table: DataFrame, k: int = 20, is_query=lambda vec_id: vec_id % 20 ==
 
     def pack_queries(part: pa.Table) -> pa.Table:
         x = _matrix(part["vec"].combine_chunks())
-        cols = [[part["list"][0].as_py()], [x.tobytes()], [lift(x, most, turn).tobytes()], [part["query"].to_pylist()]]
+        cols = [[part["list"][0].as_py()], [x.tobytes()], [lift(x, None, turn).tobytes()], [part["query"].to_pylist()]]
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], names=["list", "q_original", "q_turned", "queries"])
 
     # queries with one vector beyond its k + 1 smallest ids are queries too
@@ -185,28 +210,70 @@ def search(table: DataFrame, k: int = 20, is_query=lambda vec_id: vec_id % 20 ==
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                get = lambda name, r=r, batch=batch: batch.column(name)[r].as_py()
-                ids, asked_ids = get("ids"), np.array(get("queries"), dtype=np.int64)
-                x, columns = np.frombuffer(get("original")).reshape(-1, d), np.frombuffer(get("columns")).reshape(d + 1, -1)
-                q, turned = np.frombuffer(get("q_original")).reshape(-1, d), np.frombuffer(get("q_turned")).reshape(-1, d + 1)
+                get = lambda name, r=r, batch=batch: batch.column(name)[r]
+                ids, asked_ids = get("ids").values, np.asarray(get("queries").values)
+                x, columns = (np.frombuffer(get(c).as_buffer()).reshape(s) for c, s in (("original", (-1, d)), ("columns", (d + 1, -1))))
+                q, turned = (np.frombuffer(get(c).as_buffer()).reshape(s) for c, s in (("q_original", (-1, d)), ("q_turned", (-1, d + 1))))
                 qi, xi = scan(turned, columns, k + 1)
                 score = np.einsum("ij,ij->i", q[qi], x[xi])
                 order = np.lexsort((-score, qi))
                 qi, xi, score = qi[order], xi[order], score[order]
-                bounds = np.searchsorted(qi, np.arange(len(asked_ids) + 1))
-                out_q, out_i, out_s = [], [], []
-                for j, own in enumerate(asked_ids.tolist()):
-                    a, b = int(bounds[j]), int(bounds[j + 1])
-                    if b - a > k + 1:  # all that tie with the last one stay
-                        b = a + int(np.searchsorted(-score[a:b], -score[a + k], side="right"))
-                    found = sorted((-s, i) for s, c in zip(score[a:b].tolist(), xi[a:b].tolist()) for i in ids[c] if i != own)[:k]
-                    out_q.append(own)
-                    out_i.append([i for _, i in found])
-                    out_s.append([-s for s, _ in found])
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_i, pa.list_(pa.int64())), pa.array(out_s, pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
+                # the k + 1 best distinct vectors of each query, and all that tie with the last one
+                first = np.searchsorted(qi, np.arange(len(asked_ids) + 1))
+                last = np.minimum(first[:-1] + k, first[1:] - 1)
+                keep = score >= np.where(first[1:] > first[:-1], score[np.maximum(last, 0)] if score.size else 0, np.inf)[qi]
+                qi, xi, score = qi[keep], xi[keep], score[keep]
+                # every id that has the vector, but the query's own
+                at = np.asarray(ids.offsets)
+                count = np.diff(at)[xi]
+                pick = np.repeat(at[xi] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                who, score, qi = np.asarray(ids.values)[pick], np.repeat(score, count), np.repeat(qi, count)
+                other = who != asked_ids[qi]
+                who, score, qi = who[other], score[other], qi[other]
+                order = np.lexsort((who, -score, qi))
+                who, score, qi = who[order], score[order], qi[order]
+                first = np.searchsorted(qi, np.arange(len(asked_ids) + 1))
+                top = np.arange(qi.size) - first[qi] < k
+                who, score, qi = who[top], score[top], qi[top]
+                lists = np.searchsorted(qi, np.arange(len(asked_ids) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(asked_ids), pa.ListArray.from_arrays(lists, pa.array(who)), pa.ListArray.from_arrays(lists, pa.array(score))], names=["query_id", "ids", "scores"])
+
+    def merge(part: pa.Table) -> pa.Table:
+        who, score = (np.concatenate([np.asarray(c.flatten()) for c in part[n].chunks]) for n in ("ids", "scores"))
+        order = np.lexsort((who, -score))[:k]
+        return pa.table([pa.array(np.full(order.size, part["query_id"][0].as_py())), pa.array(np.arange(1, order.size + 1, dtype=np.int32)), pa.array(who[order]), pa.array(score[order])], names=["query_id", "rank", "vec_id", "score"])
 
     near = segments.join(blocks, ["list", "segment"]).select("original", "columns", "ids", "q_original", "q_turned", "queries").mapInArrow(compare, "query_id long, ids array<long>, scores array<double>")
-    pairs = F.transform(F.arrays_zip("ids", "scores"), lambda p: F.struct((-p["scores"]).alias("s"), p["ids"].alias("i")))
-    best = near.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(pairs)))), 1, k).alias("best"))
-    out = best.select("query_id", F.posexplode("best").alias("place", "b")).select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("b.i").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    # a task's partial answers of a query are joined before the shuffle
+    partial = near.mapInArrow(_joined(k), "query_id long, ids array<long>, scores array<double>")
+    out = partial.groupBy("query_id").applyInArrow(merge, "query_id long, rank int, vec_id long, score double")
     return scratch.finish(out)
+
+
+def _joined(k: int):
+    """Merges (query_id, ids, scores) rows within a task: at most k pairs a query leave it for each run of FLUSH rows."""
+
+    def best(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        q = np.concatenate([np.repeat(np.asarray(b.column(0)), np.diff(np.asarray(b.column(1).offsets))) for b in rows])
+        who, score = (np.concatenate([np.asarray(b.column(c).flatten()) for b in rows]) for c in (1, 2))
+        order = np.lexsort((who, -score, q))
+        q, who, score = q[order], who[order], score[order]
+        owner, first = np.unique(q, return_index=True)
+        top = np.arange(q.size) - np.repeat(first, np.diff(np.append(first, q.size))) < k
+        q, who, score = q[top], who[top], score[top]
+        lists = np.append(np.searchsorted(q, owner), q.size).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(owner), pa.ListArray.from_arrays(lists, pa.array(who)), pa.ListArray.from_arrays(lists, pa.array(score))], names=["query_id", "ids", "scores"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+                if n >= FLUSH:
+                    yield best(held)
+                    held, n = [], 0
+        if held:
+            yield best(held)
+
+    return run
