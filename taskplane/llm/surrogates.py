@@ -48,9 +48,9 @@ PATTERNS = (
     ("access_key", r"(?<![\p{L}\p{N}])(?:AKIA|ASIA)[0-9A-Z]{16}(?![\p{L}\p{N}])"),
     ("ip", rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"),
     ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
-    ("card", r"(?<![\d+])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"),
+    ("card", r"(?<![\d+])(?:[2-6]\d{12,18}|[2-6]\d{3}(?:[ -]\d{4}){2}[ -]\d{1,7}|3\d{3}[ -]\d{6}[ -]\d{5})(?!\d)"),
     ("national_id", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("phone", r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\d+])\+\d{8,15}(?!\d)"),
+    ("phone", r"(?<![\d+])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,5}){2,5}|\d{3}([ .-])\d{3}\1\d{4})(?!\d)"),
     ("name", rf"(?<!\p{{L}})(?:{_title})\.? \p{{Lu}}[\p{{L}}'’-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'’-]{{1,40}})?"),
 )
 FINDER = "|".join(f"(?:{p})" for _, p in PATTERNS)

@@ -363,7 +363,7 @@ def test_types_formats_and_coreference(spark):
 
 
 def test_clean_texts_stay(spark):
-    clean = ["plain words only", "Licensed under CC BY-NC 4.0.", "version 3.1.4 of 2024-01-31 at 10:30", "| 12 | 345 | 6789 |", "", None, "a@b", "10,000 items = 5 x 2000", "in 1999-2004, 12 345 people"]
+    clean = ["plain words only", "Licensed under CC BY-NC 4.0.", "version 3.1.4 of 2024-01-31 at 10:30", "| 12 | 345 | 6789 |", "", None, "a@b", "10,000 items = 5 x 2000", "in 1999-2004, 12 345 people", "12 345 678 and 1700000000000", "90 125 4000"]
     got = entities_of(spark, clean)
     assert all(got[i]["text"] == t and not got[i]["__entities"] for i, t in enumerate(clean))
 
