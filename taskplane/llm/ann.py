@@ -24,6 +24,8 @@ FIT_ROWS, MOST_LISTS, FIT_ROUNDS = 16_384, 4096, 12
 RECALL, TRIALS = 0.96, 256
 #: Vectors of a segment and queries of a block: what one step of the scan holds.
 SEGMENT, QUERIES = 2048, 1024
+#: Share of pairs below which distances are added up pair by pair.
+FEW = 0.02
 #: Partial answers that a task joins at a time.
 FLUSH = 100_000
 #: Column blocks end at these dimensions (fixed values) and at the last one; the test's tolerance.
@@ -87,24 +89,41 @@ def probes_for(sample: np.ndarray, lifted: np.ndarray, centroids: np.ndarray, tu
 
 
 def scan(queries: np.ndarray, columns: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, candidate) pairs that survive the tests; ``columns`` has a row for each dimension."""
+    """(query, candidate) pairs that survive the tests; ``columns`` has a row for each dimension.
+
+    While many pairs are left, a block's share of all distances is one matrix product; few are added up pair by pair.
+    """
     d, n = columns.shape
     ends = [e for e in BLOCKS if e < d] + [d]
+
+    def block(lo: int, hi: int) -> np.ndarray:
+        q, c = queries[:, lo:hi], columns[lo:hi]
+        return np.einsum("ij,ij->i", q, q)[:, None] + np.einsum("ij,ij->j", c, c)[None] - 2 * q @ c
+
     first = ends[0]
-    q0 = queries[:, :first]
-    part = np.maximum(np.einsum("ij,ij->i", q0, q0)[:, None] + np.einsum("ij,ij->j", columns[:first], columns[:first])[None] - 2 * q0 @ columns[:first], 0)
     if n <= 2 * k or first == d:
-        qi, xi = np.divmod(np.arange(part.size), n)
-        return qi, xi
+        return np.divmod(np.arange(len(queries) * n), n)
+    part = block(0, first)
     seeds = np.argpartition(part, 2 * k - 1, axis=1)[:, : 2 * k]
     whole = np.stack([((q[None] - columns[:, s].T) ** 2).sum(axis=1) for q, s in zip(queries, seeds)])
     bound = np.partition(whole, k - 1, axis=1)[:, k - 1]  # the k-th best distance can only be smaller
-    qi, xi = np.nonzero(part * (d / first) <= bound[:, None] * (1 + EPSILON / np.sqrt(first)) ** 2)
+    limit = lambda m: bound * ((1 + EPSILON / np.sqrt(m)) ** 2 * m / d if m < d else 1 + 1e-9)
+    alive = part <= limit(first)[:, None]
+    for at, (lo, hi) in enumerate(zip(ends, ends[1:])):
+        if alive.mean() < FEW:
+            break
+        part += block(lo, hi)
+        alive &= part <= limit(hi)[:, None]
+    else:
+        # all dimensions are in: only the k nearest of each query, and what ties with the last
+        part[~alive] = np.inf
+        kth = np.partition(part, k - 1, axis=1)[:, k - 1]
+        return np.nonzero(alive & (part <= (kth + 1e-9 * np.abs(kth) + 1e-12)[:, None]))
+    qi, xi = np.nonzero(alive)
     so_far = part[qi, xi]
-    for lo, hi in zip(ends, ends[1:]):
+    for lo, hi in list(zip(ends, ends[1:]))[at:]:
         so_far = so_far + sum((queries[qi, j] - columns[j, xi]) ** 2 for j in range(lo, hi))
-        limit = bound[qi] * ((1 + EPSILON / np.sqrt(hi)) ** 2 * hi / d if hi < d else 1 + 1e-9)
-        keep = so_far <= limit
+        keep = so_far <= limit(hi)[qi]
         qi, xi, so_far = qi[keep], xi[keep], so_far[keep]
     return qi, xi
 
