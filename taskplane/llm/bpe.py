@@ -1,7 +1,7 @@
 """BPE encoding and decoding: merge ranks in a priority queue over a doubly linked list of symbols.
 
 The vocabulary file (``tokenizers`` JSON, BPE with a word-end suffix) is a parameter and is read by the executors
-once per Python worker. Distinct words are encoded once per worker and kept in a bounded table.
+once per Python worker. Distinct words are encoded once per task and kept in a bounded table.
 """
 
 from __future__ import annotations
@@ -18,9 +18,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from . import kernels as K
+from .scratch import bound_batches
+
 #: What the vocabulary's regex library counts as white space (fixed values of the Unicode property).
 _SPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
-#: Words kept per Python worker before its table starts anew.
+#: Words kept by a task before its table starts anew.
 CACHE_WORDS = 300_000
 
 
@@ -164,23 +167,31 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True) -> DataF
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if keep_ids else "")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load(path)
-        for batch in batches:
-            n, a, b, ids, decoded = [], [], [], [], []
-            for text in batch.column(1):
-                i, d = tok.both(text.as_py() or "")
-                n.append(len(i) // 4)
-                a.append(hashlib.sha256(i).hexdigest())
-                b.append(hashlib.sha256(d.encode()).hexdigest())
-                if keep_ids:
-                    ids.append(i)
-                    decoded.append(d)
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    def coded(tok: WordBpe, batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, a, b, ids, decoded = [], [], [], [], []
+        for text in batch.column(1):
+            i, d = tok.both(text.as_py() or "")
+            n.append(len(i) // 4)
+            a.append(hashlib.sha256(i).hexdigest())
+            b.append(hashlib.sha256(d.encode()).hexdigest())
             if keep_ids:
-                cols += [pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                ids.append(i)
+                decoded.append(d)
+        cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if keep_ids:
+            cols += [pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
+            names += ["ids", "decoded"]
+        return pa.RecordBatch.from_arrays(cols, names=names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = load(path)
+        try:
+            for batch in batches:
+                for part in K.slices(batch, 1):
+                    yield coded(tok, part)
+        finally:
+            tok._cache.clear()  # a worker is used again by other tasks: it keeps the vocabulary, not the words
+
+    bound_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, schema)

@@ -137,10 +137,24 @@ class KatzModel:
     def _blocks(self, texts: DataFrame) -> DataFrame:
         """A table that is bucketed by block, so that joins with answers leave it where it is."""
 
+        names = [f.split()[0] for f in BLOCK_SCHEMA.split(", ")]
+        types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+
+        def made(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in pa.Table.from_batches(held).combine_chunks().to_batches():
+                for row in block_rows(whole):
+                    yield pa.RecordBatch.from_arrays([pa.array([row[n]], t) for n, t in zip(names, types)], names=names)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
             for batch in batches:
-                for row in block_rows(batch):
-                    yield pa.RecordBatch.from_arrays([pa.array([row[f.split()[0]]], t) for f, t in zip(BLOCK_SCHEMA.split(", "), (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=[f.split()[0] for f in BLOCK_SCHEMA.split(", ")])
+                held.append(batch)
+                size += batch.column(1).nbytes
+                if size >= BLOCK_BYTES:
+                    yield from made(held)
+                    held, size = [], 0
+            if held:
+                yield from made(held)
 
         self._table = f"katz_blocks_{uuid.uuid4().hex[:12]}"
         rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "trained").mapInArrow(run, BLOCK_SCHEMA)

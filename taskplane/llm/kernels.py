@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 SPACE = np.zeros(256, dtype=bool)
@@ -64,6 +65,14 @@ def pieces(offsets: np.ndarray, most: int = 1 << 21):
         i = j
 
 
+def slices(batch: pa.RecordBatch, text: int, most: int = 2 << 20):
+    """The batch in runs of rows with about ``most`` bytes of text, so that what is made from one run stays small."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+    for i, j in pieces(offsets, most):
+        yield batch.slice(i, j - i)
+
+
 def spans(is_in: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of set bytes; a run never crosses documents."""
     if not is_in.size:

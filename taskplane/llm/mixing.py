@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import Scratch
+from .scratch import Scratch, bound_batches
 
 #: Mean documents of a block: what one task must hold to fill the last block of a source.
 BLOCK_DOCS = 512
@@ -115,6 +115,7 @@ def plan_mix(docs: DataFrame, scratch: Scratch, weights: tuple = (1, 2, 3), most
     less than the smallest document that its last block did not place.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     keyed = _keyed(docs.select("doc_id", "source", "text"))
     narrow = scratch.write(word_counts(keyed, ["doc_id", "source", "__source", "__key"]), "sizes")
     per_source = narrow.groupBy("__source").agg(F.first("source").alias("source"), F.sum("__size").alias("words"), F.count("*").alias("docs"))

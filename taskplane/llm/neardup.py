@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import components
-from .scratch import Scratch, shuffle_partitions
+from .scratch import Scratch, bound_batches, shuffle_partitions
 
 #: Coordinates of a signature, and collisions from which a pair is kept: at a similarity of 0.8 a pair has fewer with probability 2e-7.
 COORDINATES, MATCHES = 40, 18
@@ -156,6 +156,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame
     """
     spark = docs.sparkSession
     scratch, partitions = Scratch(spark, "near-duplicates"), shuffle_partitions(spark)
+    bound_batches(spark)
     all_docs = scratch.write(describe(docs, n), "documents")
     usable = all_docs.where("digest is not null and doc_id is not null")
     classes = usable.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min("signature").alias("signature"))

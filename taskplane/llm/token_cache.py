@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernels as K
+from .scratch import bound_batches
+
 _models: dict[str, object] = {}
 
 
@@ -83,9 +86,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: TokenCountCache, limit:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = count_texts(tokenizer, [x.as_py() for x in batch.column(1)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
+            for part in K.slices(batch, 1):
+                counts = count_texts(tokenizer, part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
+    bound_batches(docs.sparkSession)
     text = normalised(docs["text"])
     digest = F.unhex(F.sha2(text.cast("binary"), 256))
     distinct = docs.select(digest.alias("digest"), text.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))

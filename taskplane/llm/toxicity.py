@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import Scratch
+from .scratch import Scratch, bound_batches
 
 #: The most labelled rows that are learned from (the least by a hash of doc_id), and the most lexicon entries.
 SAMPLE_ROWS, LEXICON_ENTRIES = 24_000, 8192
@@ -314,6 +314,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from, threshold: fl
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
+    bound_batches(spark)
     usable = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where("__id is not null and toxic in (0, 1)")
     usable = usable.where(learn_from(F.col("__id"))).groupBy("__id").agg(F.max("toxic").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)  # bounded, so that it may be broadcast
@@ -328,8 +329,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from, threshold: fl
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = model.score(features(batch.column(0), model.lexicon, model.weights)) if model else np.full(batch.num_rows, rate)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s, pa.float64())], names=[*kept, score_name])
+            for part in K.slices(batch, 0):
+                s = model.score(features(part.column(0), model.lexicon, model.weights)) if model else np.full(part.num_rows, rate)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s, pa.float64())], names=[*kept, score_name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
     out = rows.mapInArrow(score, f"{schema}, {score_name} double")

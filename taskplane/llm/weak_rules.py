@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import Scratch
+from .scratch import Scratch, bound_batches
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_distinct")
 _SYMBOLS = np.zeros(256, dtype=bool)
@@ -149,6 +149,7 @@ def score_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "weak-rules")
+    bound_batches(spark)
     votes = [f"v_{r[0]}" for r in RULES]
     measured = measure(docs).withColumns({v: vote(r) for v, r in zip(votes, RULES)})
     measured = scratch.write(measured, "measures")
