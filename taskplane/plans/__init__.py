@@ -1,5 +1,8 @@
 """Graphs of task types and the engine that runs them."""
 
-from .engine import Engine, Fatal, Report, Retryable, different_attr, different_instance, same_instance
+from .engine import Engine, Fatal, Report, Retry, Retryable, Worker, different_attr, different_instance, same_instance
+from .store import CheckpointStore, Dataset, MemStore, SqliteStore, Store
 
-__all__ = ["Engine", "Fatal", "Report", "Retryable", "different_attr", "different_instance", "same_instance"]
+__all__ = [
+    "CheckpointStore", "Dataset", "Engine", "Fatal", "MemStore", "Report", "Retry", "Retryable", "SqliteStore", "Store", "Worker", "different_attr", "different_instance", "same_instance",
+]

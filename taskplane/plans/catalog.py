@@ -364,9 +364,20 @@ def stream_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
-@query("SELECT arg_min(doc_id, doc_id) AS doc_id, text AS body FROM (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text) GROUP BY text")
+@query("SELECT md5(text) AS digest, length(min(text))::BIGINT AS n_chars FROM documents GROUP BY text")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First-seen over batches: a row a distinct text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    first = relational.first_seen(docs.select("doc_id", F.sha2(F.col("body").cast("binary"), 256).alias("d")), ["d"], ["doc_id"])
-    return docs.join(first.select("doc_id"), "doc_id", "left_semi")
+    """First-seen over a stream of documents: a row for each distinct text."""
+    from ..streaming import run_available, stream_first_seen
+
+    schema = table(spark, sf_dir, "documents").schema
+    digest = F.md5(F.col("text").cast("binary")).alias("digest")
+    return run_available(spark, f"{sf_dir}/documents.parquet*", schema, lambda s: stream_first_seen(s.select(digest, F.length("text").cast("long").alias("n_chars")), ["digest"]))
+
+
+@query("SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY event_type")
+def stream_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyed router over a stream: its state is kept between batches."""
+    from ..streaming import reduce_available
+
+    schema = table(spark, sf_dir, "events").schema
+    return reduce_available(spark, f"{sf_dir}/events.parquet*", schema, lambda s: s.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")))

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import json
 import signal
+import threading
 import time
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -158,7 +160,7 @@ class Engine:
         self.collects: set[str] = set()
         self.seeds: list[tuple[str, DataFrame, str | None]] = []
         self.boundary: str | None = None
-        self._stop = False
+        self._stop, self._tag = False, f"taskplane-{uuid.uuid4().hex}"
 
     # declarations ------------------------------------------------------------------------------------------------
     def type(self, name: str, schema: str | T.StructType) -> Engine:
@@ -254,9 +256,14 @@ class Engine:
         self.boundary = name
         return self
 
-    def shutdown(self) -> None:
-        """Ends a run after the wave that is running; what is left counts as unfinished."""
+    def shutdown(self, grace_s: float | None = None) -> None:
+        """Ends a run after the node that is running; what is left counts as unfinished. With a grace period the running jobs are
+        cancelled when it is over."""
         self._stop = True
+        if grace_s is not None:
+            timer = threading.Timer(grace_s, lambda: self.spark.sparkContext.cancelJobsWithTag(self._tag))
+            timer.daemon = True
+            timer.start()
 
     # running -----------------------------------------------------------------------------------------------------
     def tasks(self) -> DataFrame:
@@ -268,7 +275,18 @@ class Engine:
             return names.select("name", "has_worker", F.lit(0).cast("long").alias("n_stored"), F.lit(0).cast("long").alias("n_done"))
         return names.join(self.store.statuses(), "name", "left").select("name", "has_worker", zero("n_stored"), zero("n_done"))
 
-    def run(self) -> Report:
+    def run(self, catch_ctrl_c: bool = False, grace_s: float = 30) -> Report:
+        """Runs to the end. With catch_ctrl_c the first Ctrl-C shuts down with the grace period."""
+        self.spark.sparkContext.addJobTag(self._tag)
+        old = signal.signal(signal.SIGINT, lambda *_: self.shutdown(grace_s)) if catch_ctrl_c else None
+        try:
+            return self._run()
+        finally:
+            self.spark.sparkContext.removeJobTag(self._tag)
+            if catch_ctrl_c:
+                signal.signal(signal.SIGINT, old)
+
+    def _run(self) -> Report:
         report = Report()
         if self.checkpoints and not self.store:
             self.store = Store(self.spark)
@@ -290,8 +308,16 @@ class Engine:
                     self._deliver(t, _with_meta(out), waiting, routed, unflushed, report)
                 continue
             task = self.graph.order(waiting)[0]
-            frame = written(_with_meta(_union(waiting.pop(task))), f"task-{task}")
-            self._one(task, frame, waiting, routed, unflushed, seen, report)
+            frame = _with_meta(_union(waiting.pop(task)))
+            try:
+                frame = written(frame, f"task-{task}")
+                self._one(task, frame, waiting, routed, unflushed, seen, report)
+            except Exception:
+                if not self._stop:
+                    raise
+                report.interrupted = True  # cancelled after the grace period: its rows and what waits are unfinished
+                report.unfinished = frame.count() + sum(f.count() for fs in waiting.values() for f in fs)
+                break
             if self.monitor:
                 self.monitor.sample({"processed": report.processed, "failed": report.failed, "retried": report.retried, "waiting": sorted(waiting), "running": task})
         for name, reducer in self.routers.items():

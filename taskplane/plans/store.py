@@ -6,7 +6,10 @@ crash in between leaves a payload that nothing names rather than an index row wi
 
 from __future__ import annotations
 
+import json
+import sqlite3
 import time
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,26 @@ from ..operators import provenance
 INDEX = "name string, key string, event string, source string, cov array<bigint>, seq long"
 
 
+class CheckpointStore(Protocol):
+    """What the engine needs of a store; own ones may be passed to it."""
+
+    def index(self) -> DataFrame: ...
+
+    def covered(self) -> DataFrame: ...
+
+    def extents(self) -> DataFrame: ...
+
+    def stored_items(self, name: str) -> DataFrame: ...
+
+    def statuses(self) -> DataFrame: ...
+
+    def commit(self, name: str, items: DataFrame, payload: list[str] | None) -> None: ...
+
+    def consume(self, name: str, keys: DataFrame) -> None: ...
+
+    def record_extent(self, source: str, ordinals: DataFrame) -> None: ...
+
+
 class Store:
     """A folder with ``index/`` (appended events: stored, consumed, extent) and ``data/<name>/`` (payload rows with their key)."""
 
@@ -72,6 +95,53 @@ class Store:
         return provenance.task_status(self.index())
 
 
+class MemStore(Store):
+    """The index in the driver's memory, payloads in a scratch folder: for tests and for runs that need not be resumed. An index
+    that does not fit into the driver needs a ``Store``."""
+
+    def __init__(self, spark: SparkSession):
+        super().__init__(spark)
+        self._held: list[tuple] = []
+
+    def _events(self) -> DataFrame:
+        return self.spark.createDataFrame(self._held, INDEX)
+
+    def _append(self, rows: DataFrame, event: str) -> None:
+        seq = time.time_ns()
+        self._held += [(r["name"], r["key"], event, r["source"], r["cov"], seq) for r in rows.select("name", "key", "source", "cov").toLocalIterator()]
+
+
+class SqliteStore(Store):
+    """The index in a SQLite file beside the driver, payloads as Parquet in the store's folder. A missing payload is an error when it
+    is read."""
+
+    def __init__(self, spark: SparkSession, file: str, path: str | None = None):
+        super().__init__(spark, path or f"file://{file}-data")
+        self._file = file
+
+    def _connect(self) -> sqlite3.Connection:
+        con = sqlite3.connect(self._file)
+        con.execute("pragma journal_mode = wal")
+        con.execute("create table if not exists events (name text, key text, event text, source text, cov text, seq integer)")
+        return con
+
+    def _events(self) -> DataFrame:
+        con = self._connect()
+        try:
+            rows = [(n, k, e, s, json.loads(c) if c else None, q) for n, k, e, s, c, q in con.execute("select name, key, event, source, cov, seq from events order by rowid")]
+        finally:
+            con.close()
+        return self.spark.createDataFrame(rows, INDEX)
+
+    def _append(self, rows: DataFrame, event: str) -> None:
+        seq, con = time.time_ns(), self._connect()
+        try:
+            with con:
+                con.executemany("insert into events values (?, ?, ?, ?, ?, ?)", ((r["name"], r["key"], event, r["source"], json.dumps(r["cov"]) if r["cov"] is not None else None, seq) for r in rows.select("name", "key", "source", "cov").toLocalIterator()))
+        finally:
+            con.close()
+
+
 class Dataset:
     """A self-compacting folder of content-addressed Parquet shards: a shard that newer coverage supersedes is not read any more."""
 

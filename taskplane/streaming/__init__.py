@@ -1,6 +1,6 @@
 """Streams of results: Structured Streaming runs, bounded iterators, shuffles and an adapter for training loops."""
 
-from .handle import StreamHandle, run_available, shuffled, stream
+from .handle import StreamHandle, reduce_available, run_available, shuffled, stream, stream_first_seen
 from .training import ShuffleBuffer, SnapshotTaskSet, TaskStream, default_decode, loader
 
-__all__ = ["ShuffleBuffer", "SnapshotTaskSet", "StreamHandle", "TaskStream", "default_decode", "loader", "run_available", "shuffled", "stream"]
+__all__ = ["ShuffleBuffer", "SnapshotTaskSet", "StreamHandle", "TaskStream", "default_decode", "loader", "reduce_available", "run_available", "shuffled", "stream", "stream_first_seen"]

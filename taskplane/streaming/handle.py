@@ -97,6 +97,30 @@ def run_available(spark: SparkSession, path: str, schema: StructType, transform:
     return spark.read.parquet(f"{where}/out")
 
 
+def stream_first_seen(frame: DataFrame, keys: list[str], event_time: str | None = None, within: str | None = None) -> DataFrame:
+    """First rows of keys in a stream. Its state holds every key; with an event time it forgets keys after ``within``."""
+    if event_time and within:
+        return frame.withWatermark(event_time, within).dropDuplicatesWithinWatermark(keys)
+    return frame.dropDuplicates(keys)
+
+
+def reduce_available(spark: SparkSession, path: str, schema: StructType, transform: Callable[[DataFrame], DataFrame], files_per_batch: int | None = None) -> DataFrame:
+    """A router over a stream: ``transform`` ends in an aggregation, whose state is kept between batches; returns its last result."""
+    reader = spark.readStream.schema(schema).format("parquet")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    where = new_path(spark, "stream")
+    last: list[str] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/out-{number}")  # repeated after a failure: the same place again
+        last[:] = [f"{where}/out-{number}"]
+
+    query = transform(reader.load(path)).writeStream.outputMode("complete").option("checkpointLocation", f"{where}/state").foreachBatch(keep).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(*last)
+
+
 def shuffled(df: DataFrame, seed: int, epoch: int = 0) -> DataFrame:
     """The same rows in an order that hangs on seed and epoch alone: a hash of the whole row, so that reruns agree."""
     key = F.xxhash64(F.lit(seed), F.lit(epoch), *df.columns)

@@ -1,6 +1,7 @@
 """Engine runs end to end: counters, retries, placement, policies, checkpoints, boundaries, collection."""
 
 import json
+import threading
 import time
 
 import pytest
@@ -12,7 +13,7 @@ from taskplane.operators import reducers
 from taskplane.operators.control import Retry
 from taskplane.plans import Engine, Fatal, different_attr, different_instance
 from taskplane.plans.graph import EmitNotAllowed, TaskGraph
-from taskplane.plans.store import Dataset, Store
+from taskplane.plans.store import Dataset, MemStore, SqliteStore, Store
 from taskplane.streaming import StreamHandle, TaskStream, loader, stream
 from taskplane.streaming.training import ShuffleBuffer, SnapshotTaskSet
 
@@ -173,8 +174,9 @@ def checkpointed(spark, store, seeds=10, source="lines"):
     return engine.source("Line", source, numbers(spark, seeds), "n")
 
 
-def test_checkpoints_make_a_second_run_skip_everything(spark, tmp_path):
-    store = Store(spark, f"file://{tmp_path}/store")
+@pytest.mark.parametrize("kind", ["folder", "memory", "sqlite"])
+def test_checkpoints_make_a_second_run_skip_everything(spark, tmp_path, kind):
+    store = {"folder": lambda: Store(spark, f"file://{tmp_path}/store"), "memory": lambda: MemStore(spark), "sqlite": lambda: SqliteStore(spark, f"{tmp_path}/index.db")}[kind]()
     first = checkpointed(spark, store).run()
     assert (first.processed, first.skipped, first.output("Edited")) == (12, 0, 2)
     assert {r["name"]: (r["n_stored"], r["n_done"]) for r in store.statuses().collect()} == {"Saved": (2, 2)}
@@ -238,6 +240,20 @@ def test_shutdown_counts_what_is_left(spark):
     assert report.interrupted and report.processed + report.unfinished == 12
 
 
+def test_cancelled_after_the_grace_period(spark):
+    engine = Engine(spark)
+
+    @engine.worker("Job", rows=True)
+    def sleep(task, ctx):
+        time.sleep(60)
+
+    engine.seed("Job", spark.range(4).select("id"))
+    threading.Timer(2, lambda: engine.shutdown(grace_s=0)).start()
+    began = time.time()
+    report = engine.run()
+    assert report.interrupted and report.unfinished == 4 and time.time() - began < 40
+
+
 def test_graph():
     g = TaskGraph()
     g.declare("a", ["b"])
