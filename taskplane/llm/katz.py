@@ -73,11 +73,11 @@ class Unigrams:
         return np.where(counts > 0, discounted(counts, self.d) / self.tokens, self.unknown)
 
 
-def block_rows(batch: pa.RecordBatch) -> Iterator[dict]:
+def block_rows(batch: pa.RecordBatch, block_bytes: int) -> Iterator[dict]:
     """Blocks of a batch (doc_id, text, trained)."""
     data, offsets = K.flatten(batch.column(1))
     trained = np.asarray(batch.column(2).fill_null(False).to_numpy(zero_copy_only=False), dtype=bool)
-    for i, j in K.pieces(offsets, BLOCK_BYTES):
+    for i, j in K.pieces(offsets, block_bytes):
         parts, counts = [], []
         for a, b in K.pieces(offsets[i : j + 1], 1 << 19):
             a, b = a + i, b + i
@@ -129,20 +129,23 @@ class KatzModel:
     part, contexts and words as numbers, counts), each partitioned by owner.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, block_bytes: int | None = None, owner_ngrams: int | None = None):
+        """Blocks and owners take some 15 times block_bytes and 40 bytes an n-gram of a worker's memory. The rows that move number at
+        most blocks x owners: with larger executors both should grow with the corpus."""
         self.spark, self.scratch = spark, Scratch(spark, "katz")
+        self.block_bytes, self.owner_ngrams = block_bytes or BLOCK_BYTES, owner_ngrams or OWNER_NGRAMS
         self.unigrams: Unigrams | None = None
 
     # level 0: blocks ---------------------------------------------------------------------------------------------
     def _blocks(self, texts: DataFrame) -> DataFrame:
         """A table that is bucketed by block, so that joins with answers leave it where it is."""
 
-        names = [f.split()[0] for f in BLOCK_SCHEMA.split(", ")]
+        block_bytes, names = self.block_bytes, [f.split()[0] for f in BLOCK_SCHEMA.split(", ")]
         types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
 
         def made(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in pa.Table.from_batches(held).combine_chunks().to_batches():
-                for row in block_rows(whole):
+                for row in block_rows(whole, block_bytes):
                     yield pa.RecordBatch.from_arrays([pa.array([row[n]], t) for n, t in zip(names, types)], names=names)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +153,7 @@ class KatzModel:
             for batch in batches:
                 held.append(batch)
                 size += batch.column(1).nbytes
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     yield from made(held)
                     held, size = [], 0
             if held:
@@ -284,7 +287,7 @@ class KatzModel:
         blocks = self._blocks(texts)
         totals = blocks.agg(F.sum("n_tokens"), F.sum("n_train"), F.sum("n_texts")).first()
         self._texts = int(totals[2] or 0)
-        self._parts = max(4, shuffle_partitions(self.spark), -(-int(totals[0] or 0) // OWNER_NGRAMS))
+        self._parts = max(4, shuffle_partitions(self.spark), -(-int(totals[0] or 0) // self.owner_ngrams))
         words = self._words(blocks)
         pairs = self._pairs(blocks, words)
         uni, d2, heavy_stats, heavy, parts, train = self.unigrams, self.d2, self.heavy_stats, self._heavy, self._parts, self.train_tokens
