@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import bound_batches
+from .scratch import Scratch, bound_batches
 
 _models: dict[str, object] = {}
 
@@ -97,6 +97,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: TokenCountCache, limit:
     misses = distinct.join(cache.read(version).select("digest"), "digest", "left_anti")
     cache.append(misses.mapInArrow(encode, "digest binary, n_tokens long"), version)
     counts = cache.read(version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = Scratch(docs.sparkSession, "token-counts").write(counts, "counts")  # the adaptive join splits a hot digest only between scans
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest"))
     out = narrow.join(counts, "digest", "left")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
