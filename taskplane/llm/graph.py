@@ -11,8 +11,8 @@ from .scratch import Scratch
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v: long), the component being its least node.
 
-    Each step is a grouped minimum, combined before the shuffle, and a join in which only the edge side can be skewed,
-    so that the adaptive join may split a hub. The number of rounds grows with the logarithm of the largest component.
+    Each step is a grouped minimum, combined before the shuffle and written, and a join in which only the edge side can be
+    skewed. Both sides of it are scans, which the adaptive join needs in order to split a hub. The number of rounds grows with the logarithm of the largest component.
     Every round is a table in the shared folder; nothing but two totals reaches the driver.
     """
     now = scratch.write(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
@@ -20,15 +20,15 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     while True:
         # large star: every neighbour above a node meets the least node of its neighbourhood
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-least-{k}")
+        large = scratch.write(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}-large-{k}")
         # small star: a node and its lower neighbours meet the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("m"), F.col("u").alias("b"))
+        lowest = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-lowest-{k}")
+        small = large.join(lowest, "u").select(F.col("v").alias("a"), F.col("m").alias("m"), F.col("u").alias("b"))
         small = small.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("m").alias("v")), F.struct(F.col("b").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        small = scratch.write(small, f"{name}-{k + 1}")
+        scratch.drop(held, f"{name}-least-{k}", f"{name}-large-{k}", f"{name}-lowest-{k}")
         k += 1
-        small = scratch.write(small, f"{name}-{k}")
-        scratch.drop(held)
         now, held = small, f"{name}-{k}"
         total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if total == before or not total[0]:

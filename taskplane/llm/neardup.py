@@ -162,14 +162,15 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame
     classes = usable.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min("signature").alias("signature"))
     classes = scratch.write(classes, "classes")
     postings = classes.select("class_id", F.explode("signature").alias("posting"))
-    shared = postings.groupBy("posting").agg(F.count("*").alias("n")).where("n > 1")
+    # what meets a side with hot keys is written first: the adaptive join splits a hot key only between scans
+    shared = scratch.write(postings.groupBy("posting").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     kept = postings.join(shared, "posting").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("n", "posting"))).alias("p")).where(F.size("p") >= MATCHES)
     prefix = kept.select("class_id", F.explode(F.slice("p", F.lit(1), F.size("p") - MATCHES + 1)).alias("e")).select("class_id", F.col("e.posting").alias("posting"))
     prefix = scratch.write(prefix, "prefix")
-    first = prefix.groupBy("posting").agg(F.min("class_id").alias("v"))
+    first = scratch.write(prefix.groupBy("posting").agg(F.min("class_id").alias("v")), "first")
     bundles = components(prefix.join(first, "posting").select(F.col("class_id").alias("u"), "v"), scratch, "bundles")
     bundles = scratch.write(bundles, "bundles")
-    blocks = bundles.groupBy("component").agg(F.count("*").alias("members")).select("component", F.ceil(F.col("members") / BLOCK_SETS).cast("int").alias("n_blocks"))
+    blocks = scratch.write(bundles.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("n_blocks")), "blocks")
     members = bundles.join(blocks, "component").select(F.col("node").alias("__id"), "component", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks").cast("long")).cast("int").alias("block"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
