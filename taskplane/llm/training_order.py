@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -26,6 +27,8 @@ from .scratch import Scratch
 #: Token ids of the byte tokenizer: a byte of the UTF-8 text is its own id; these two never occur in UTF-8.
 END, PAD = 0xFF, 0xFE
 LENGTH, SHARD_SEQUENCES, ROUNDS = 2048, 8192, 6
+#: Sequences that a task sends at a time; those for one shard go compressed in one row.
+FLUSH = 8192
 
 
 def feistel(x: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarray:
@@ -92,18 +95,22 @@ def write_order(docs: DataFrame, folder: str, key: int, length: int = LENGTH, sh
         null = np.zeros(0, bool)
 
         def cut(count: int) -> pa.RecordBatch:
+            """The next sequences, those of one shard in one row."""
             lo = np.arange(count) * length
             a, b = np.searchsorted(starts, lo, side="right") - 1, np.searchsorted(starts, lo + length, side="left")
             a = np.maximum(a, 0)
-            at = np.concatenate(([0], np.cumsum(b - a)))
-            pick = np.repeat(a - at[:-1], b - a) + np.arange(at[-1])
-            lists = at.astype(np.int32)
             slot = feistel(np.arange(n, n + count), total, key)
-            begin = starts[pick] - np.repeat(lo, b - a)
+            order = np.argsort(slot, kind="stable")
+            rows, slot, a, b, lo = held[: count * length].reshape(count, length)[order], slot[order], a[order], b[order], lo[order]
+            docs = np.concatenate(([0], np.cumsum(b - a)))
+            pick = np.repeat(a - docs[:-1], b - a) + np.arange(docs[-1])
+            shard, first = np.unique(slot // shard_sequences, return_index=True)
+            runs = np.append(first, count)
+            lists = lambda at, values: pa.ListArray.from_arrays(at.astype(np.int32), values)
             return pa.RecordBatch.from_arrays(
-                [pa.array((slot // shard_sequences).astype(np.int32)), pa.array(slot), _rows(held[: count * length], length),
-                 pa.ListArray.from_arrays(lists, pa.array(ids[pick], mask=null[pick])), pa.ListArray.from_arrays(lists, pa.array(begin.astype(np.int64)))],
-                names=["shard", "slot", "tokens", "doc_ids", "starts"],
+                [pa.array(shard.astype(np.int32)), pa.array([zstandard.compress(rows[i:j].tobytes(), 1) for i, j in zip(runs, runs[1:])], pa.binary()), lists(runs, pa.array(slot)), lists(runs, pa.array(b - a)),
+                 lists(docs[runs], pa.array(ids[pick], mask=null[pick])), lists(docs[runs], pa.array(starts[pick] - np.repeat(lo, b - a)))],
+                names=["shard", "tokens", "slots", "counts", "doc_ids", "starts"],
             )
 
         for batch in batches:
@@ -115,7 +122,7 @@ def write_order(docs: DataFrame, folder: str, key: int, length: int = LENGTH, sh
             starts = np.concatenate([starts, begin + held.size])
             held = np.concatenate([held, stream])
             while held.size >= length:
-                count = min(held.size // length, 4096)
+                count = min(held.size // length, FLUSH)
                 yield cut(count)
                 n += count
                 held, starts = held[count * length :], starts - count * length
@@ -127,33 +134,39 @@ def write_order(docs: DataFrame, folder: str, key: int, length: int = LENGTH, sh
         if read != size.get(p, 0):
             raise RuntimeError(f"partition {p} has {read} tokens, {size.get(p, 0)} when first read; write the input as a table first")
 
-    packed = texts.mapInArrow(pack, "shard int, slot long, tokens binary, doc_ids array<long>, starts array<long>")
-    ranged = packed.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+    packed = texts.mapInArrow(pack, "shard int, tokens binary, slots array<long>, counts array<long>, doc_ids array<long>, starts array<long>")
+    ranged = packed.repartitionById(shards, F.col("shard"))  # a task is a shard
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, out, name, temp = None, None, None, None
         store, root = _open(folder)
+        shard, parts = None, []
         for batch in batches:
-            shard = batch.column(0).to_numpy()
-            slot = batch.column(1).to_numpy()
-            if batch.num_rows and out is None:
-                name = f"{root}/shard-{int(shard[0]):08d}.bin"
-                temp = f"{root}/_{uuid.uuid4().hex}"
-                out, place = store.open_output_stream(temp), int(shard[0]) * shard_sequences
-            crc = []
-            for t in batch.column(2):
-                t = t.as_buffer()
-                out.write(t)
-                crc.append(zlib.crc32(t))
             if batch.num_rows:
-                if not (slot == place + np.arange(slot.size)).all():
-                    raise RuntimeError(f"{name}: slots are missing or repeated")
-                place += slot.size
-            offset = (slot % shard_sequences) * length
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(shard), pa.array(offset), batch.column(3), batch.column(4), pa.array(crc, pa.int64())], names=["slot", "shard", "byte_offset", "doc_ids", "starts", "crc32"])
-        if out is not None:
-            out.close()
-            store.move(temp, name)
+                shard = batch.column(0)[0].as_py()
+                parts.append(batch)
+        if shard is None:
+            return
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        slots, counts = (np.asarray(rows[c].combine_chunks().flatten()) for c in ("slots", "counts"))
+        first, size = shard * shard_sequences, min(shard_sequences, total - shard * shard_sequences)
+        order = np.argsort(slots)
+        if not np.array_equal(slots[order], first + np.arange(size)):
+            raise RuntimeError(f"shard {shard}: slots are missing or repeated")
+        out, at = np.empty((size, length), dtype=np.uint8), 0
+        for blob in rows["tokens"]:
+            tokens = np.frombuffer(zstandard.decompress(blob.as_py()), np.uint8).reshape(-1, length)
+            out[slots[at : at + len(tokens)] - first] = tokens
+            at += len(tokens)
+        temp = f"{root}/_{uuid.uuid4().hex}"
+        with store.open_output_stream(temp) as f:
+            f.write(memoryview(out).cast("B"))
+        store.move(temp, f"{root}/shard-{shard:08d}.bin")
+        begin = (np.cumsum(counts) - counts)[order]
+        bounds = np.concatenate(([0], np.cumsum(counts[order]))).astype(np.int32)
+        pick = pa.array(np.repeat(begin - bounds[:-1], counts[order]) + np.arange(bounds[-1]))
+        lists = [pa.ListArray.from_arrays(bounds, rows[c].combine_chunks().flatten().take(pick)) for c in ("doc_ids", "starts")]
+        crc = np.fromiter((zlib.crc32(t) for t in out), np.int64, size)
+        yield pa.RecordBatch.from_arrays([pa.array(first + np.arange(size)), pa.array(np.full(size, shard, np.int32)), pa.array(np.arange(size) * length), *lists, pa.array(crc)], names=["slot", "shard", "byte_offset", "doc_ids", "starts", "crc32"])
 
     store, root = _open(folder)
     store.create_dir(root, recursive=True)
@@ -163,12 +176,6 @@ def write_order(docs: DataFrame, folder: str, key: int, length: int = LENGTH, sh
     return manifest
 
 
-def _rows(flat: np.ndarray, length: int) -> pa.Array:
-    n = flat.size // length
-    offsets = pa.py_buffer((np.arange(n + 1) * length).astype(np.int32).tobytes())
-    return pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(np.ascontiguousarray(flat).tobytes())])
-
-
 def read_slots(folder: str, start: int = 0, count: int | None = None) -> Iterator[np.ndarray]:
     """Sequences in training order from a slot on; one seek a shard."""
     store, root = _open(folder)
