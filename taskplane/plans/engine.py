@@ -148,8 +148,8 @@ class Report:
 class Engine:
     """Declare types, workers, routers and seeds, then ``run``. Declarations return the engine, so that they chain."""
 
-    def __init__(self, spark: SparkSession, retry: Retry | None = None, store: Store | None = None, dead_letter: Callable[[list[dict]], None] | None = None, timeout_ms: int | None = None, concurrency: int | None = None, resources: dict[str, int] | None = None, monitor: Any = None):
-        self.spark, self.retry_policy, self.store, self.dead_letter, self.timeout_ms, self.concurrency, self.monitor = spark, retry or Retry(), store, dead_letter, timeout_ms, concurrency, monitor
+    def __init__(self, spark: SparkSession, retry: Retry | None = None, store: Store | None = None, dead_letter: Callable[[list[dict]], None] | None = None, timeout_ms: int | None = None, concurrency: int | None = None, resources: dict[str, int] | None = None, monitor: Any = None, dataset: Any = None):
+        self.spark, self.retry_policy, self.store, self.dead_letter, self.timeout_ms, self.concurrency, self.monitor, self.dataset = spark, retry or Retry(), store, dead_letter, timeout_ms, concurrency, monitor, dataset
         self.graph, self.resources = TaskGraph(), dict(resources or {})
         self.schemas: dict[str, T.StructType] = {}
         self.frames: dict[str, Callable[[DataFrame], Any]] = {}
@@ -406,6 +406,8 @@ class Engine:
         fresh = written(fresh.select("_task.*"), f"fresh-{task}")
         report.skipped += int(skipped.agg(F.coalesce(F.sum("n_skipped"), F.lit(0))).first()[0])
         self.store.commit(task, fresh, None if c.key_only else [f.name for f in fresh.schema.fields if f.name not in ("_key", "_again", *META)])
+        if self.dataset and not c.key_only:
+            self.dataset.put(task, fresh.drop("_again"))
         if task == self.boundary:
             return fresh, False
         return fresh.unionByName(old, allowMissingColumns=True), has_worker

@@ -183,3 +183,32 @@ class Dataset:
             if shared.exists(self.spark, path):
                 shared.delete(self.spark, path)
         return len(dead)
+
+
+class ItemDataset:
+    """Checkpoint items as rows instead of files: ``data/<name>`` has the payloads, ``index`` the coverage of each item. What newer
+    items cover whole is not read any more; nothing is opened item by item."""
+
+    INDEX = "id string, name string, key string, seq long, cov array<bigint>"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def put(self, name: str, items: DataFrame) -> None:
+        """items has _key, _cov and the payload's columns. Payloads are written before the index that names them."""
+        seq = time.time_ns()
+        rows = items.withColumn("_id", F.concat_ws("/", F.lit(name), F.col("_key"), F.lit(str(seq))))
+        rows.drop("_key", "_cov", "_source").write.mode("append").parquet(f"{self.path}/data/{name}")
+        rows.select(F.col("_id").alias("id"), F.lit(name).alias("name"), F.col("_key").alias("key"), F.lit(seq).alias("seq"), F.col("_cov").alias("cov")).write.mode("append").parquet(f"{self.path}/index")
+
+    def live(self) -> DataFrame:
+        where = f"{self.path}/index"
+        index = self.spark.read.schema(self.INDEX).parquet(where) if shared.exists(self.spark, where) else self.spark.createDataFrame([], self.INDEX)
+        newest = index.groupBy("name", "key").agg(F.max("seq").alias("seq"))
+        index = index.join(newest, ["name", "key", "seq"], "left_semi")
+        alive = provenance.live_shards(index.select("id", "seq", F.explode_outer("cov").alias("ord")))
+        return index.join(alive.select("id"), "id", "left_semi")
+
+    def read(self, name: str) -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.path}/data/{name}")
+        return rows.join(self.live().select(F.col("id").alias("_id")), "_id", "left_semi").drop("_id")

@@ -13,7 +13,7 @@ from taskplane.operators import reducers
 from taskplane.operators.control import Retry
 from taskplane.plans import Engine, Fatal, different_attr, different_instance
 from taskplane.plans.graph import EmitNotAllowed, TaskGraph
-from taskplane.plans.store import Dataset, MemStore, SqliteStore, Store
+from taskplane.plans.store import Dataset, ItemDataset, MemStore, SqliteStore, Store
 from taskplane.streaming import StreamHandle, TaskStream, loader, stream
 from taskplane.streaming.training import ShuffleBuffer, SnapshotTaskSet
 
@@ -217,6 +217,18 @@ def test_dataset_supersession(spark, tmp_path):
     assert ds.compact() == 1 and sorted(r["v"] for r in ds.read().collect()) == ["a2", "b1", "b2"]
 
 
+def test_resaved_items_supersede(spark, tmp_path):
+    """Rows are stored by one run and stored anew, ten times as large, by the next one; the first two only in part."""
+    dataset, store = ItemDataset(spark, f"file://{tmp_path}/ds"), Store(spark, f"file://{tmp_path}/store")
+    rows = spark.range(6).select(F.col("id").cast("string").alias("id"), F.col("id").alias("value"), F.col("id").alias("ord"))
+    first = Engine(spark, store=store, dataset=dataset).checkpoint("Row", key="id").source("Row", "rows", rows, "ord")
+    assert first.run().processed == 6 and dataset.live().count() == 6
+    second = Engine(spark, store=Store(spark, f"file://{tmp_path}/other"), dataset=dataset).checkpoint("Resaved", key="id")
+    second.source("Resaved", "rows", rows.where("ord < 4").withColumn("value", F.col("value") * 10), "ord").run()
+    assert sorted((r["id"], r["value"]) for r in dataset.read("Resaved").collect()) == [(str(i), 10 * i) for i in range(4)]
+    assert sorted((r["id"], r["value"]) for r in dataset.read("Row").collect()) == [("4", 4), ("5", 5)]
+
+
 def test_batcher_flushes_until_quiet(spark):
     engine = Engine(spark)
     engine.worker("Item", emits=["Batch"])(lambda df: {"Batch": df})

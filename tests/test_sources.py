@@ -171,3 +171,23 @@ def test_sandbox():
         run, write_, read_ = box.tools()
         assert write_.call(path="f", content="y") == "ok" and read_.call(path="f") == "y" and "exit code 0" in run.call(command="true")
     assert not box.root.exists()
+
+
+def test_own_format_as_a_data_source(spark, tmp_path):
+    from taskplane.sources.datasource import ipc_batches, ipc_schema, register_format
+
+    write(spark.range(100).select("id", (F.col("id") * 2).alias("x")).repartition(3), f"{tmp_path}/t.arrow")
+    register_format(spark, "own_ipc", ipc_batches, ipc_schema)
+    got = spark.read.format("own_ipc").load(f"{tmp_path}/t.arrow")
+    assert got.agg(F.count("*"), F.sum("x")).first()[:] == (100, 9900)
+
+
+def test_chunks_of_files_have_keys(spark, tmp_path):
+    from taskplane.sources.records import file_and_chunk
+
+    for k in range(2):
+        spark.range(2500).select(F.col("id").alias("n")).coalesce(1).write.parquet(f"{tmp_path}/in/f{k}")
+    rows = spark.read.parquet(f"{tmp_path}/in/f0", f"{tmp_path}/in/f1").select(*file_and_chunk(1024), "n")
+    chunks = rows.groupBy("key").count().collect()
+    assert len(chunks) == 6 and sum(r["count"] for r in chunks) == 5000 and max(r["count"] for r in chunks) == 1024
+    assert all("#" in r["key"] for r in chunks)
