@@ -23,8 +23,9 @@ from .scratch import Scratch, bound_batches, shuffle_partitions
 
 #: Coordinates of a signature, and collisions from which a pair is kept: at a similarity of 0.8 a pair has fewer with probability 2e-7.
 COORDINATES, MATCHES = 40, 18
-#: Sets of a bundle that one task compares; larger bundles are cut into blocks, and each pair of blocks is a task's unit.
-BLOCK_SETS = 768
+#: Sets of a bundle, and shingles in them, that one task compares; larger bundles are cut into blocks, and each pair of blocks is a
+#: task's unit.
+BLOCK_SETS, BLOCK_SHINGLES = 768, 4_000_000
 
 _rng = np.random.default_rng(777)
 _XOR = _rng.integers(0, 2**63, size=COORDINATES, dtype=np.int64).astype(K.U64)
@@ -159,7 +160,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame
     bound_batches(spark)
     all_docs = scratch.write(describe(docs, n), "documents")
     usable = all_docs.where("digest is not null and doc_id is not null")
-    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min("signature").alias("signature"))
+    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min("signature").alias("signature"), F.min("n_shingles").alias("n_shingles"))
     classes = scratch.write(classes, "classes")
     postings = classes.select("class_id", F.explode("signature").alias("posting"))
     # what meets a side with hot keys is written first: the adaptive join splits a hot key only between scans
@@ -170,7 +171,9 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame
     first = scratch.write(prefix.groupBy("posting").agg(F.min("class_id").alias("v")), "first")
     bundles = components(prefix.join(first, "posting").select(F.col("class_id").alias("u"), "v"), scratch, "bundles")
     bundles = scratch.write(bundles, "bundles")
-    blocks = scratch.write(bundles.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("n_blocks")), "blocks")
+    sized = bundles.join(classes.select(F.col("class_id").alias("node"), "n_shingles"), "node")
+    n_blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("n_blocks")
+    blocks = scratch.write(sized.groupBy("component").agg(n_blocks), "blocks")
     members = bundles.join(blocks, "component").select(F.col("node").alias("__id"), "component", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks").cast("long")).cast("int").alias("block"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
