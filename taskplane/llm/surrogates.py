@@ -41,10 +41,13 @@ SPOKEN = ("aeiouy", "bcdfghjklmnpqrstvwxz", "AEIOUY", "BCDFGHJKLMNPQRSTVWXZ", "
 
 _title = "|".join(sorted({t for ts in TITLES.values() for t in ts}, key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: Most spaces on either side of a secret's = or : (Java wants look-behinds to be bounded). A quoted value goes up to its closing quote.
+GAP = 32
+_SECRET_AFTER = rf"(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)(?:\\?[\"'])?\h{{0,{GAP}}}[=:]{{1,2}}>?\h{{0,{GAP}}}\\?"
 #: In order of precedence: type and regular expression (Java).
 PATTERNS = (
     ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63})*\.\p{L}{2,24}"),
-    ("secret", r"(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)[=:])[^\s,;\"']{4,200}"),
+    ("secret", rf"(?<=[=:>\h\"'])(?<=[=:]>?\h{{0,{GAP}}}\\?[\"']?)(?:{_SECRET_AFTER}\")[^\"\r\n]{{4,}}(?=\")|{_SECRET_AFTER}')[^'\r\n]{{4,}}(?=')|{_SECRET_AFTER}[\"']?)[^\s,;\"']{{4,}})"),
     ("access_key", r"(?<![\p{L}\p{N}])(?:AKIA|ASIA)[0-9A-Z]{16}(?![\p{L}\p{N}])"),
     ("ip", rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"),
     ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
