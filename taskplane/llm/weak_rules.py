@@ -38,8 +38,10 @@ RULES = (
     ("variety", lambda c: c("n_distinct") / F.pow(c("n_words"), F.lit(0.75)), 0.5, 0.9),
 )
 
-#: What the rules are taken to do on good text before any is seen: their rate of bad votes, and this belief's weight.
+#: What the rules are taken to do on good text before any is seen: their rate of bad votes, and the votes that this belief weighs.
 FALSE_ALARM, PRIOR = 0.001, 20.0
+#: Bad votes that a rule should cast by chance on another kind of junk before that kind is asked alone; else all are asked together.
+ENOUGH = 10
 
 
 def count_batch(column: pa.Array) -> dict[str, np.ndarray]:
@@ -108,34 +110,80 @@ def vote(rule: tuple) -> Column:
     return F.when(F.col("n_words") == 0, F.lit(0)).when(is_bad, F.lit(-1)).when(is_good, F.lit(1)).otherwise(F.lit(0)).cast("tinyint")
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, dict]:
+def kinds_of_junk(bad: np.ndarray, good: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], int, np.ndarray]:
+    """The rules (masks) that find a kind of junk each, how many of these are shared, and the most that each rule may vote bad on good text.
+
+    Rules whose bad votes meet at least twice as often as by chance, beyond noise, look for the same kind. Votes alone cannot
+    tell a kind of junk that only these rules see from their false alarms on good text; what they do where other rules vote bad can: a
+    rule is taken to vote bad on good text no oftener than on any kind of junk that others find. Rules that do so there less than half
+    as often as elsewhere have a kind of their own; other linked rules share one; a rule that is neither finds none (unless there is
+    no kind at all: then all rules share one). Nothing bounds those two.
+    """
+    n, voted = bad.shape[1], bad + good
+    both, one, seen = (bad * counts[:, None]).T @ bad, (bad * counts[:, None]).T @ voted, (voted * counts[:, None]).T @ voted
+    chance = one * one.T / np.maximum(seen, 1)
+    linked = ((both > 2 * chance) & (both - chance > 3 * np.sqrt(chance + 1))) | np.eye(n, dtype=bool)
+    for _ in range(n):
+        linked = linked @ linked
+    own, common, most = [], np.zeros(n, dtype=bool), np.ones(n)
+    groups = np.unique(linked, axis=0)
+    rate = lambda w, votes, of: (w @ votes + PRIOR * FALSE_ALARM) / (w @ of + PRIOR)
+    for mine in groups:
+        inside, outside = bad[:, mine].any(axis=1), bad[:, ~mine].any(axis=1)
+        alone = rate(counts * ~outside, inside, np.ones(len(counts)))
+        others = [counts * bad[:, g].any(axis=1) for g in groups if not (g & mine).any()]
+        others = [w for w in others if alone * w.sum() >= ENOUGH] or [counts * outside]
+        if outside.any() and alone > 2 * min(rate(w, inside, np.ones(len(counts))) for w in others):
+            own.append(mine)
+            most[mine] = np.min([rate(w, bad, voted)[mine] for w in others], axis=0)
+        elif mine.sum() > 1:
+            common |= mine
+    if not own and not common.any():
+        common[:] = True
+    shared = [common] if common.any() else []
+    return shared + own, len(shared), most
+
+
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 1000) -> tuple[np.ndarray, dict]:
     """Posterior probability of good quality for each pattern, and the learned accuracies.
 
-    Two classes; each rule that does not abstain votes by its own probabilities given the class, independently of the
-    others; abstaining says nothing. Starts from "any bad vote is bad". A Beta prior, FALSE_ALARM with the weight of PRIOR
-    times all documents, says that a rule seldom votes bad on good text; without it the model takes the largest kind of junk for
-    the class of bad texts and the other kinds for good ones. Add-one smoothing keeps every probability above 0.
+    One class for each kind of junk (``kinds_of_junk``) and one of good text; each rule that does not abstain votes by its
+    own probabilities given the class, independently of the others; abstaining says nothing. Starts from "any bad vote is bad". A
+    Beta prior of FALSE_ALARM with the weight of PRIOR votes, whatever the number of documents, says that a rule seldom votes
+    bad on good text, so that false alarms are learned from the data. A kind of junk that only some rules see holds only texts on which
+    one of them votes bad: how many more there are, votes cannot say. Add-one smoothing keeps every probability above 0.
     """
     bad, good = (patterns < 0).astype(float), (patterns > 0).astype(float)
     total, before = counts.sum(), -math.inf
-    post = np.where(bad.any(axis=1), 0.1, 0.9)
-    weight = np.array([[0.0], [PRIOR * total]])
+    kinds, shared, most = kinds_of_junk(bad, good, counts)
+    hit = np.stack([bad[:, m].any(axis=1) for m in kinds]).astype(float)
+    unseen = np.zeros((len(kinds) + 1, len(counts)), dtype=bool)
+    unseen[shared:-1] = hit[shared:] == 0
+    hits = hit.sum(axis=0)
+    start = np.where(hits > 0, 0.9, 0.1) * np.where(hits > 0, hit / np.maximum(hits, 1), 1 / len(kinds))
+    start[unseen[:-1]] = 0
+    post = np.vstack([start, 1 - start.sum(axis=0)])  # kinds of junk, then good text
+    weight = np.zeros((len(post), 1))
+    weight[-1] = PRIOR
     wrong = prior = None
     for _ in range(rounds):
-        w = np.stack([counts * (1 - post), counts * post])
+        w = counts * post
         votes_bad, votes = w @ bad, w @ (bad + good)
         wrong = (votes_bad + 1 + weight * FALSE_ALARM) / (votes + 2 + weight)  # class, rule: P(bad vote)
-        prior = (w.sum(axis=1) + 1) / (total + 2)
+        wrong[-1] = np.minimum(wrong[-1], most)
+        prior = (w.sum(axis=1) + 1) / (total + len(post))
         logs = np.log(prior)[:, None] + np.log(wrong) @ bad.T + np.log1p(-wrong) @ good.T
+        logs[unseen] = -np.inf
         top = logs.max(axis=0)
         each = top + np.log(np.exp(logs - top).sum(axis=0))
-        post = np.exp(logs[1] - each)
+        post = np.exp(logs - each)
         now = float((counts * each).sum())
         if abs(now - before) < 1e-9 * max(1.0, abs(now)):
             break
         before = now
     names = [r[0] for r in RULES] if patterns.shape[1] == len(RULES) else list(map(str, range(patterns.shape[1])))
-    return post, {"prior_good": float(prior[1]), "accuracy": dict(zip(names, (prior[0] * wrong[0] + prior[1] * (1 - wrong[1])).tolist()))}
+    accuracy = prior[:-1] @ wrong[:-1] + prior[-1] * (1 - wrong[-1])
+    return post[-1], {"prior_good": float(prior[-1]), "accuracy": dict(zip(names, accuracy.tolist())), "false_alarms": dict(zip(names, wrong[-1].tolist()))}
 
 
 def score_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:

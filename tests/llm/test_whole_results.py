@@ -2,11 +2,12 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_corpus_ops import entities_of
 
-from taskplane.llm import surrogates
+from taskplane.llm import surrogates, weak_rules
 
 PLANTED = r'token = "([0-9a-f]{40})"'
 
@@ -33,3 +34,21 @@ def test_planted_secrets_of_the_tables(spark, sf_dir):
     assert planted
     for out in (surrogates.replace_entities(docs), corpus_pipeline.replace_personal_data(spark, docs, sf_dir)):
         assert not any(x in r["text"] for r in out.collect() for x in planted)
+
+
+@pytest.mark.parametrize("n, alarm, hit, own", [(200_000, 0.2, 0.3, False), (200_000, 0.1, 0.3, False), (20_000, 0.2, 0.6, False), (200_000, 0.15, 0.3, True)])
+def test_false_alarms_are_learned(n, alarm, hit, own):
+    """One rule votes bad on much good text; with ``own``, another one alone finds a kind of junk."""
+    rng = np.random.default_rng(5)
+    kind = np.where(rng.random(n) < 0.85, 0, np.where(rng.random(n) < 0.6, 1, 2 if own else 1))
+    rate = np.full((3, 8), 0.001)
+    rate[1], rate[2, 6] = hit, 0.9
+    rate[:, 3] = [alarm, hit, alarm]
+    if own:
+        rate[1, 6] = 0.001
+    votes = np.where(rng.random((n, 8)) < rate[kind], -1, 1)
+    pattern, at, count = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    post, info = weak_rules.fit(pattern, count.astype(float))
+    kept = (post >= 0.5)[at]
+    assert abs(info["false_alarms"][weak_rules.RULES[3][0]] - alarm) < 0.02 and abs(info["prior_good"] - 0.85) < 0.03
+    assert kept[kind == 0].mean() > 0.98 and kept[kind == 1].mean() < 0.15 and (not own or kept[kind == 2].mean() < 0.15)
