@@ -101,8 +101,8 @@ def block_rows(batch: pa.RecordBatch, block_bytes: int) -> Iterator[dict]:
 
 
 BLOCK_SCHEMA = "block long, ids array<long>, trained array<boolean>, lengths array<long>, vocab binary, tokens binary, counts binary, n_tokens long, n_train long, n_texts long"
-ANSWER_SCHEMA = "kind string, block long, part int, a binary, b binary, c binary"
-_ANSWER = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+ANSWER_SCHEMA = "kind string, block long, part int, a binary, b binary, c binary, d binary"
+_ANSWER = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 
 
 def _blob(x: np.ndarray, ascending: bool = False) -> bytes:
@@ -248,12 +248,13 @@ class KatzModel:
                 stats[:, r - 1] = np.bincount(where[total == r], minlength=h.size)
             stats[:, CUTOFF] = np.bincount(where, weights=np.where(total > CUTOFF, total, 0), minlength=h.size)
             stats[:, CUTOFF + 1] = np.bincount(where[seen], weights=uni.probability(word_count[seen]), minlength=h.size)
+            whole = ~stats[:, :CUTOFF].any(axis=1)  # contexts without a discounted follower
             out, i = [], 0
             for block, c in zip(rows["block"].to_pylist(), contexts):
                 mine = at[i : i + c.size]
                 r = total[mine]
                 asked = np.unique(where[mine[(r == 0) & ~is_heavy[mine]]])  # the contexts of its unseen pairs, ascending
-                out.append(("pair", block, part, _blob(r.astype(np.uint32)), _blob(stats[asked, :CUTOFF].astype(np.uint32).ravel()), _blob(stats[asked, CUTOFF:].ravel())))
+                out.append(("pair", block, part, _blob(r.astype(np.uint32)), _blob(stats[asked, :CUTOFF].astype(np.uint32).ravel()), _blob(stats[asked, CUTOFF:].ravel()), _blob(whole[where[mine[(r > CUTOFF) & ~is_heavy[mine]]]])))
                 i += c.size
             out.append(("pairs", None, part, _counts_of_counts(total).astype(np.int64).tobytes(), None, None))
             top = np.zeros(h.size, bool)
@@ -298,17 +299,21 @@ class KatzModel:
             order = np.argsort(owner, kind="stable")
             cut = np.searchsorted(owner[order], np.arange(parts + 1))
             seen, stats = np.zeros(owner.size, np.int64), np.zeros((owner.size, CUTOFF + 2))
-            is_heavy = b.pair_heavy(heavy) > 0
-            for kind, part, r, n, rest in zip(answers["kind"].to_pylist(), answers["part"].to_pylist(), answers["a"], answers["b"], answers["c"]):
+            is_heavy, whole = b.pair_heavy(heavy) > 0, np.zeros(owner.size, bool)
+            for kind, part, r, n, rest, flags in zip(answers["kind"].to_pylist(), answers["part"].to_pylist(), answers["a"], answers["b"], answers["c"], answers["d"]):
                 if kind == "pair":
                     mine = order[cut[part] : cut[part + 1]]
                     seen[mine] = _load(r, np.uint32)
                     unseen = mine[(seen[mine] == 0) & ~is_heavy[mine]]
                     at = np.unique(b.pair_context[unseen], return_inverse=True)[1]
                     stats[unseen] = np.hstack([_load(n, np.uint32).reshape(-1, CUTOFF), _load(rest, np.float64).reshape(-1, 2)])[at]
+                    whole[mine[(seen[mine] > CUTOFF) & ~is_heavy[mine]]] = _load(flags, np.bool_)
+            top = np.flatnonzero((seen > CUTOFF) & is_heavy)
+            tops, at = np.unique(b.pair_context[top], return_inverse=True)
+            whole[top] = np.array([not heavy_stats[h][:CUTOFF].any() for h in tops.tolist()], bool)[at]
             for i in np.flatnonzero((seen == 0) & is_heavy):
                 stats[i] = heavy_stats.get(int(b.pair_context[i]), 0)
-            logp = pair_scores(seen, b.pair_context_count, uni.probability(b.pair_word_count), stats, d2)
+            logp = pair_scores(seen, b.pair_context_count, uni.probability(b.pair_word_count), stats, whole, d2)
             count = b.token_count
             base = np.log10((count + 1) / (train + uni.known + 1))
             sums = lambda x: np.add.reduceat(x, b.starts) if b.starts.size else np.zeros(0)
@@ -332,12 +337,12 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return K.mix(a * K.U64(0x9E3779B97F4A7C15) + b)
 
 
-def pair_scores(seen: np.ndarray, context_count: np.ndarray, lower: np.ndarray, stats: np.ndarray, d: np.ndarray) -> np.ndarray:
+def pair_scores(seen: np.ndarray, context_count: np.ndarray, lower: np.ndarray, stats: np.ndarray, whole: np.ndarray, d: np.ndarray) -> np.ndarray:
     """log10 P(w | h), one step of the recursion: seen pairs are discounted, others back off to ``lower`` with alpha(h).
 
     stats has, for the contexts of unseen pairs, the numbers of followers by count, the occurrences of more frequent ones and the
     lower-order mass of all followers. A context that was never seen backs off with weight 1. One without any discounted
-    follower gets a count more, which is the mass for its unseen words.
+    follower (of seen pairs: ``whole``) gets a count more, which is the mass for its unseen words.
     """
     r = np.arange(1, CUTOFF + 1)
     kept = stats[:, :CUTOFF] @ (r * d[1:]) + stats[:, CUTOFF]
@@ -346,7 +351,7 @@ def pair_scores(seen: np.ndarray, context_count: np.ndarray, lower: np.ndarray,
     with np.errstate(all="ignore"):
         alpha = np.where(none, 1 / (total + 1), 1 - kept / total) / np.maximum(1 - stats[:, CUTOFF + 1], 1e-300)
         unseen = np.log10(np.where(total > 0, alpha, 1.0)) + np.log10(lower)
-        return np.where(seen > 0, np.log10(discounted(seen, d) / np.maximum(context_count, 1)), unseen)
+        return np.where(seen > 0, np.log10(discounted(seen, d) / np.maximum(context_count + whole, 1)), unseen)
 
 
 class Block:

@@ -1,13 +1,15 @@
 """Cases in which an operator once did less than its whole job."""
 
+import math
+import random
 import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_corpus_ops import entities_of
+from test_corpus_ops import entities_of, low, plain_katz
 
-from taskplane.llm import surrogates, weak_rules
+from taskplane.llm import katz, surrogates, weak_rules
 
 PLANTED = r'token = "([0-9a-f]{40})"'
 
@@ -52,3 +54,25 @@ def test_false_alarms_are_learned(n, alarm, hit, own):
     kept = (post >= 0.5)[at]
     assert abs(info["false_alarms"][weak_rules.RULES[3][0]] - alarm) < 0.02 and abs(info["prior_good"] - 0.85) < 0.03
     assert kept[kind == 0].mean() > 0.98 and kept[kind == 1].mean() < 0.15 and (not own or kept[kind == 2].mean() < 0.15)
+
+
+@pytest.mark.parametrize("parts", [None, 20])
+def test_every_distribution_of_copies_sums_to_one(spark, monkeypatch, parts):
+    """Groups of copies: most contexts have only followers that are not discounted."""
+    if parts:
+        monkeypatch.setattr(katz, "OWNER_NGRAMS", parts)
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(300)}" if rng.random() < 0.8 else "the" for _ in range(rng.randrange(3, 25))) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate([t for i, t in enumerate(texts) for _ in range(1 + i % 13)] + ["the " * 9, "w1 the nowhere w2", ""])), "doc_id long, text string").repartition(3)
+    rows = [([*low(r["text"]), None], r["doc_id"] % 7 != 2) for r in docs.collect()]
+    _, prob, c, after, unigram, _ = plain_katz(rows)
+    total = {h: sum(k for _, k in a) for h, a in after.items()}
+    whole = {h for h, a in after.items() if min(k for _, k in a) > katz.CUTOFF}
+    seen = {(h, w) for h, a in after.items() for w, _ in a}
+    right = lambda h, w: prob(h, w) * (total[h] / (total[h] + 1) if h in whole and (h, w) in seen else 1)
+    assert len(whole) > 50
+    for h in after:
+        assert sum(right(h, w) for w in c) + right(h, b"\xff") == pytest.approx(1), h
+    want = sorted(sum(math.log10(right(h, w)) for h, w in zip(["<s>", *t], t)) for t, _ in rows)
+    got = sorted(r["score"] for r in katz.score_texts(docs, lambda i: i % 7 != 2).collect())
+    assert got == pytest.approx(want, rel=1e-9, abs=1e-9)
