@@ -5,7 +5,8 @@ Feistel network whose rounds shift each character within its class (digits stay
 Greek, vowels of a name stay vowels) by a keyed hash of the other half. It is the same wherever the entity occurs, and
 two entities of one form never share one. What a permutation cannot promise (a surrogate that equals its original or
 some other person's data, or that meets another form's surrogate) is checked over all distinct entities, and those
-that fail are drawn again until none is left.
+that fail are drawn again until none is left. Entities that a permutation cannot hide (masks, scripts without an alphabet here) or
+whose form has no surrogate left get one made from a keyed hash, in a wider alphabet or with digits added.
 """
 
 from __future__ import annotations
@@ -63,6 +64,10 @@ ROUNDS = 4
 #: Redrawn entities up to which their draws are put into the plan as literals; beyond, they are joined.
 INLINE_REDRAWS = 1000
 MOST_ROUNDS = 40
+#: Draws from which on a surrogate is made freely.
+FREE_DRAW = 20
+#: Kinds whose whole text a free surrogate replaces, and kinds that it adds digits to; the others have 10**11 surrogates a form at least.
+_FREE, _LONGER = ("email", "ip", "name", "secret"), ("phone", "national_id")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -202,9 +207,42 @@ def canonical(kind: Column, e: Column) -> Column:
     return let(e, lambda x: F.when(kind.isin("card", "national_id"), _digits(x)).when(kind == "phone", F.right(_digits(x), F.lit(10))).when(kind == "iban", _bare(x)).when(kind.isin("email", "name"), F.lower(x)).otherwise(x))
 
 
+def _stuck(kind: Column, movable: Column) -> Column:
+    """Whether a permutation leaves all characters, or most letters and digits, as they are. Case makes no difference."""
+    count = lambda m, chars: F.length(F.regexp_replace(m, f"[^{chars}]", ""))
+    own = lambda m: F.when(kind == "name", count(m, "".join(SPOKEN).lower())).otherwise(count(m, "".join([DIGITS, LOWER, *OTHER]).lower()))
+    few = lambda m: let(own(m), lambda n: (n == 0) | (2 * n < count(m, r"\p{L}\p{N}")))
+    return F.when(kind.isin("email", "name", "secret"), let(F.lower(movable), few)).otherwise(False)
+
+
+def _free(kind: Column, e: Column, seed: Column) -> Column:
+    """A surrogate of a kind of _FREE from a keyed hash; names and e-mail in the entity's script where it has an alphabet here."""
+    title = F.regexp_extract(e, _TITLE, 0)
+    letters = F.when(e.rlike(r"\p{IsCyrillic}"), "абвгдежзиклмнопр").when(e.rlike(r"\p{IsGreek}"), "αβγδεζηθικλμνξοπ").otherwise("abcdefghiklmnopr")
+
+    def made(h: Column) -> Column:
+        spelled = let(letters, lambda a: F.array_join(F.transform(_chars(F.substring(h, F.lit(1), F.lit(24))), lambda c: F.substring(a, F.conv(c, 16, 10).cast("int") + 1, F.lit(1))), ""))
+        octet = lambda i: F.conv(F.substring(h, F.lit(i), F.lit(2)), 16, 10)
+        return (
+            F.when(kind == "email", let(spelled, lambda w: F.concat(F.substring(w, F.lit(1), F.lit(12)), F.lit("@"), F.substring(w, F.lit(13), F.lit(12)), F.regexp_extract(e, _TAIL, 0))))
+            .when(kind == "ip", F.concat_ws(".", octet(1), octet(3), octet(5), octet(7)))
+            .when(kind == "name", F.concat_ws(" ", title, F.when(F.size(F.split(F.regexp_replace(e, _TITLE, ""), " ")) > 2, _given(e, title, seed)), F.initcap(F.substring(spelled, F.lit(1), F.lit(12)))))
+            .otherwise(F.substring(h, F.lit(1), F.lit(24)))
+        )
+
+    return let(F.sha2(F.concat(F.lit("free|"), seed, F.lit("|"), canonical(kind, e)), 256), made)
+
+
+def _added(kind: Column, e: Column, seed: Column) -> Column:
+    """Four digits or more, so that a number has ten at least."""
+    h = F.sha2(F.concat(F.lit("added|"), seed, F.lit("|"), canonical(kind, e)), 256)
+    return F.right(F.lpad(F.conv(F.substring(h, F.lit(1), F.lit(14)), 16, 10), 10, "0"), F.greatest(10 - F.length(_digits(e)), F.lit(4)))
+
+
 def surrogate(kind: Column, e: Column, key: str, draw: Column) -> Column:
     def made(seed: Column) -> Column:
-        return let(permuted(_movable(kind, e), seed, _alphabets(kind, e)), lambda p: _assembled(kind, e, p, seed))
+        moved = lambda m: let(permuted(m, seed, _alphabets(kind, e)), lambda p: F.concat(_assembled(kind, e, p, seed), F.when((draw >= FREE_DRAW) & kind.isin(*_LONGER), _added(kind, e, seed)).otherwise("")))
+        return let(_movable(kind, e), lambda m: F.when(((draw >= FREE_DRAW) & kind.isin(*_FREE)) | _stuck(kind, m), _free(kind, e, seed)).otherwise(moved(m)))
 
     return let(F.concat(F.lit(f"{key}|"), kind, F.lit("|"), draw.cast("string")), made)
 
@@ -218,7 +256,8 @@ def redraws(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
 
     ``entities`` has one row (kind, canon, entity) an entity. In each round the surrogates of all entities are grouped: one
     that equals an original of its kind, or that several entities share, is bad; of those that share one, the least by hash keeps
-    it. Bad ones get the next draw. Rounds are set-based; the number of bad entities falls with each.
+    it. Bad ones get the next draw. Rounds are set-based; the number of bad entities falls with each, and draws from FREE_DRAW on
+    have so much space that hardly any is left after them.
     """
     state = entities.withColumn("draw", F.lit(0))
     for k in range(MOST_ROUNDS):
@@ -240,7 +279,7 @@ def redraws(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
 def replace_entities(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     """docs with ``text`` replaced, and ``__entities``: array of (kind, original, surrogate) in order of occurrence.
 
-    Null texts stay null and empty ones empty, with no entities; texts without entities stay as they are; repeated rows
+    Masked values (``password=****``) and scripts without an alphabet here get free surrogates. Null texts stay null and empty ones empty, with no entities; texts without entities stay as they are; repeated rows
     get the same text; an empty table gives an empty one. Columns that docs has besides text pass through whatever their names are
     (names that begin with ``__`` are this module's own). One pass collects the distinct entities (a hot one leaves each task
     once), another replaces them in place; texts are not shuffled unless more than INLINE_REDRAWS entities were redrawn.

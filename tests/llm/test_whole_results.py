@@ -76,3 +76,33 @@ def test_every_distribution_of_copies_sums_to_one(spark, monkeypatch, parts):
     want = sorted(sum(math.log10(right(h, w)) for h, w in zip(["<s>", *t], t)) for t, _ in rows)
     got = sorted(r["score"] for r in katz.score_texts(docs, lambda i: i % 7 != 2).collect())
     assert got == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
+def test_entities_that_no_permutation_hides(spark):
+    """Masks, letters in no alphabet, mostly such letters."""
+    stuck = ["password=********", "token:----", "secret:????", "password=\u5bc6\u7801\u5bc6\u7801\u5bc6", "\u674e1@\u4f8b\u5b50.com", "\uae40\ucca0\uc218@\uc608\uc2dc.kr", "\u0639\u0644\u064a@\u0645\u062b\u0627\u0644.org", "Dr \u0540\u0561\u056f\u0578\u0562", "Dr. Anna \u0540\u0561\u056f\u0578\u0562"]
+    got = entities_of(spark, [f"a {x} b" for x in stuck] * 2)
+    made = {}
+    for i, r in got.items():
+        (e,) = r["__entities"]
+        assert e["original"] not in r["text"] and e["surrogate"] != e["original"] and made.setdefault(e["original"], e["surrogate"]) == e["surrogate"], stuck[i % len(stuck)]
+    assert len(set(made.values())) == len(stuck) and not re.search("[\u4e00-\u9fff\uac00-\ud7a3\u0600-\u06ff\u0530-\u058f*?]", " ".join(made.values()))
+    assert made["Dr. Anna \u0540\u0561\u056f\u0578\u0562"].startswith("Dr. ") and made["\u674e1@\u4f8b\u5b50.com"].endswith(".com")
+
+
+@pytest.mark.parametrize("inline", [1000, 0])
+def test_crowded_forms_get_free_surrogates(spark, monkeypatch, inline):
+    """Every form of a short name, and more than half of the short phone numbers of one form."""
+    monkeypatch.setattr(surrogates, "FREE_DRAW", 3)
+    monkeypatch.setattr(surrogates, "INLINE_REDRAWS", inline)
+    names = [f"Mr {a}{b}" for a in "BCDFGHJKLMNPQRSTVWXZ" for b in "aeiouy"]
+    got = entities_of(spark, [f"{x} said, {x.replace('Mr', 'Mr.')} did" for x in names])
+    made = {e["original"]: e["surrogate"] for r in got.values() for e in r["__entities"]}
+    assert len(made) == 240 == len({x.lower() for x in made.values()}) and not {x.lower() for x in made.values()} & {x.lower() for x in made}
+    assert all(b.split()[0] == a.split()[0] for a, b in made.items())
+    monkeypatch.setattr(surrogates, "_movable", lambda kind, e: F.right(surrogates._digits(e), F.lit(1)))
+    monkeypatch.setattr(surrogates, "_assembled", lambda kind, e, p, seed: F.concat(F.substring(e, F.lit(1), F.length(e) - 1), p))
+    numbers = [f"123-45-678{i}" for i in range(10)] + [f"988-555-243{i}" for i in range(10)]
+    got = entities_of(spark, numbers)
+    made = {e["original"]: e["surrogate"] for r in got.values() for e in r["__entities"]}
+    assert set(made) == set(numbers) and len(set(made.values())) == 20 and not set(made.values()) & set(numbers)
