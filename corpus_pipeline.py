@@ -26,9 +26,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of the smallest doc_id, in its first row if the id repeats."""
+    """One document of each group stays: that of the smallest doc_id, in one row if the id repeats (the least by a hash of its
+    columns). Null doc_ids are no duplicates of anything: their rows all stay."""
     gone = near_duplicates(docs, n=5).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    counts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    repeated = Scratch(spark, "repeated-ids").write(counts, "ids")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    single = docs.join(gone.unionByName(repeated), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(repeated.join(gone, "doc_id", "left_anti"), "doc_id", "left_semi")
+    least = F.min_by(F.struct(*columns), F.xxhash64(*columns, *[c.isNull() for c in columns])).alias("row")
+    return single.unionByName(kept.groupBy("doc_id").agg(least).select("row.*"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

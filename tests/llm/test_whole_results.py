@@ -3,13 +3,16 @@
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_corpus_ops import entities_of, low, plain_katz
+from test_text_ops import odd_documents
 
 from taskplane.llm import katz, surrogates, weak_rules
+from taskplane.llm.scratch import Scratch
 
 PLANTED = r'token = "([0-9a-f]{40})"'
 
@@ -106,3 +109,26 @@ def test_crowded_forms_get_free_surrogates(spark, monkeypatch, inline):
     got = entities_of(spark, numbers)
     made = {e["original"]: e["surrogate"] for r in got.values() for e in r["__entities"]}
     assert set(made) == set(numbers) and len(set(made.values())) == 20 and not set(made.values()) & set(numbers)
+
+
+def test_pipeline_stages_on_repeated_and_odd_rows(spark, sf_dir):
+    """Copies of whole rows, one id with several texts, null ids and texts."""
+    import corpus_pipeline
+
+    odd = odd_documents(spark)
+    more = [(100, "ten words that no other text of this small table has", "s", 1, "x")] * 1000 + [(101, f"text number {i} of one id", "s", i, None) for i in range(5)] + [(102, "ten words that no other text of this small table has", "s", 1, "x")] * 3
+    docs = odd.unionByName(spark.createDataFrame(more, odd.schema)).repartition(5)
+    scratch = Scratch(spark, "t")
+    after = scratch.write(corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir), "near")
+    assert after.columns == docs.columns
+    rows = Counter(r["doc_id"] for r in after.collect())
+    assert rows.pop(None) == docs.where("doc_id is null").count() and set(rows.values()) == {1} and 100 in rows and 101 in rows and 102 not in rows
+    assert set(map(tuple, after.collect())) <= set(map(tuple, docs.collect()))
+    again = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(3), sf_dir).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, after.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        assert docs.columns == odd.columns and docs.count()
+    assert corpus_pipeline.encode(spark, docs, sf_dir).count() == docs.count()
+    ids = Counter(r["doc_id"] for r in docs.collect())
+    assert max(ids.values()) <= 3
