@@ -1,7 +1,8 @@
 """Vectorised text kernels over the bytes of Arrow string columns.
 
 A word is a maximal run of bytes outside ``\\x20\\x09-\\x0D``, which in UTF-8 is the same as ``[^\\x20\\x09-\\x0D]+`` on
-code points. Words, lines and windows get 64-bit hashes; two different words share one with probability 2**-64.
+code points. Words, lines and windows get 64-bit hashes; two different words share one with probability 2**-64, two
+windows with 2**-60 at most.
 """
 
 from __future__ import annotations
@@ -9,17 +10,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, size=256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-_BYTE_LOWER = _BYTE[LOWER]
-_SEGMENT = 1 << 16
-_powers: list[np.ndarray] = []
+#: Bytes of a word up to which it is hashed eight at a time; longer ones (they are few) go through xxh3, whatever their length.
+_VECTOR = 64
+_TAIL = (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((np.uint64(8) - np.arange(9, dtype=np.uint64)) * np.uint64(8) % np.uint64(64))).astype(np.uint64)
+_TAIL[0] = 0
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,20 +32,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or _powers[0].size < n:
-        size = max(n, _SEGMENT + 4096)
-        tables = []
-        for base in (_BASE, pow(_BASE, -1, 2**64)):
-            t = np.full(size, base, dtype=U64)
-            t[0] = 1
-            tables.append(np.cumprod(t, dtype=U64))
-        if size > 4 * _SEGMENT:
-            return tables  # one extreme word: not kept
-        _powers[:] = tables
-    return _powers
-
-
 def flatten(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty."""
     if column.null_count:
@@ -88,19 +75,26 @@ def spans(is_in: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of data[start:end], in segments so that memory stays bounded for any length of text."""
-    out = np.empty(starts.size, dtype=U64)
-    table, i = _BYTE_LOWER if lower else _BYTE, 0
-    while i < starts.size:
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _SEGMENT, side="right")))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        power, inverse = _power_tables(hi - lo + 1)
-        sums = np.empty(hi - lo + 1, dtype=U64)
-        sums[0] = 0
-        np.cumsum(table[data[lo:hi]] * power[: hi - lo], out=sums[1:])
-        a, b = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (sums[b] - sums[a]) * inverse[a] + (b - a).astype(U64)
-        i = j
+    """64-bit hashes of data[start:end]. Eight bytes at a time go through ``mix``, so that no arithmetic of one modulus lets different
+    words meet by their structure."""
+    length = ends - starts
+    out = mix(length.astype(U64) + U64(0x9E3779B97F4A7C15))
+    if not starts.size:
+        return out
+    if lower:
+        data = LOWER[data]
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(data.size + 1, dtype="<u8", buffer=padded, strides=(1,))
+    rest = np.flatnonzero((length > 0) & (length <= _VECTOR))
+    at, left, h = starts[rest], length[rest], out[rest]
+    while rest.size:
+        h = mix(h ^ (eight[at] & _TAIL[np.minimum(left, 8)])) + U64(0xC2B2AE3D27D4EB4F)
+        done = left <= 8
+        out[rest[done]] = h[done]
+        more = ~done
+        rest, at, left, h = rest[more], at[more] + 8, left[more] - 8, h[more]
+    for i in np.flatnonzero(length > _VECTOR).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].data, 20240229)
     return mix(out)
 
 

@@ -1,7 +1,8 @@
 """Quality rules under weak supervision: rules vote or abstain, expectation-maximisation learns how far to trust them.
 
 The votes of one document make a pattern. All patterns of all documents are counted by Spark; there are at most
-3**rules of them, whatever the number of documents, and the driver fits the model on these counts exactly.
+3**rules of them, whatever the number of documents, and the driver fits the model on these counts exactly. No vote is a veto:
+what a bad vote says hangs on how often its rule votes bad on good text, which is learned.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .scratch import Scratch, bound_batches
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_distinct")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_distinct", "n_digits")
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
+_DIGIT = np.zeros(256, dtype=bool)
+_DIGIT[48:58] = True
 _UPPER = np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
 _LETTER = _UPPER.copy()
@@ -36,7 +39,12 @@ RULES = (
     ("capitals", lambda c: c("n_upper") / F.greatest(c("n_letters"), F.lit(1)), 0.3, 0.15),
     ("marks", lambda c: c("n_marks") / c("n_words"), 0.1, 0.03),
     ("variety", lambda c: c("n_distinct") / F.pow(c("n_words"), F.lit(0.75)), 0.5, 0.9),
+    ("digits", lambda c: c("n_digits") / c("n_words"), 0.05, 0.01),
+    ("lines", lambda c: c("n_words") / F.greatest(c("n_lines"), F.lit(1)), 12, 20),
+    ("letters", lambda c: c("n_letters") / F.greatest(c("word_chars"), F.lit(1)), 0.9, 0.95),
 )
+#: Rules that many good texts break: they speak for or against a kind of junk that other rules find, and are never one's only finder.
+HINTS = ("digits", "lines", "letters")
 
 #: What the rules are taken to do on good text before any is seen: their rate of bad votes, and the votes that this belief weighs.
 FALSE_ALARM, PRIOR = 0.001, 20.0
@@ -61,6 +69,7 @@ def count_batch(column: pa.Array) -> dict[str, np.ndarray]:
         out["n_upper"][i:j] = K.per_document(_UPPER[d], o)
         out["n_letters"][i:j] = K.per_document(_LETTER[d], o)
         out["n_marks"][i:j] = K.per_document(d == 33, o)
+        out["n_digits"][i:j] = K.per_document(_DIGIT[d], o)
         ls, le = K.spans(d != 10, o)
         worded = np.searchsorted(s, le) > np.searchsorted(s, ls)
         ls, le = ls[worded], le[worded]
@@ -144,18 +153,27 @@ def kinds_of_junk(bad: np.ndarray, good: np.ndarray, counts: np.ndarray) -> tupl
     return shared + own, len(shared), most
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 1000) -> tuple[np.ndarray, dict]:
+def _widened(values: np.ndarray, where: np.ndarray, rest: float) -> np.ndarray:
+    out = np.full(where.size, rest, dtype=values.dtype)
+    out[where] = values
+    return out
+
+
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 1000, hints: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
     """Posterior probability of good quality for each pattern, and the learned accuracies.
 
     One class for each kind of junk (``kinds_of_junk``) and one of good text; each rule that does not abstain votes by its
     own probabilities given the class, independently of the others; abstaining says nothing. Starts from "any bad vote is bad". A
     Beta prior of FALSE_ALARM with the weight of PRIOR votes, whatever the number of documents, says that a rule seldom votes
     bad on good text, so that false alarms are learned from the data. A kind of junk that only some rules see holds only texts on which
-    one of them votes bad: how many more there are, votes cannot say. Add-one smoothing keeps every probability above 0.
+    one of them votes bad: how many more there are, votes cannot say. The rules of the mask ``hints`` have rates in every class like the
+    others, but no kind is taken to exist for their votes alone. Add-one smoothing keeps every probability above 0.
     """
     bad, good = (patterns < 0).astype(float), (patterns > 0).astype(float)
     total, before = counts.sum(), -math.inf
-    kinds, shared, most = kinds_of_junk(bad, good, counts)
+    finds = np.ones(patterns.shape[1], dtype=bool) if hints is None else ~hints
+    kinds, shared, limits = kinds_of_junk(bad[:, finds], good[:, finds], counts)
+    kinds, most = [_widened(k, finds, False) for k in kinds], _widened(limits, finds, 1.0)
     hit = np.stack([bad[:, m].any(axis=1) for m in kinds]).astype(float)
     unseen = np.zeros((len(kinds) + 1, len(counts)), dtype=bool)
     unseen[shared:-1] = hit[shared:] == 0
@@ -181,7 +199,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 1000) -> tuple[n
         if abs(now - before) < 1e-9 * max(1.0, abs(now)):
             break
         before = now
-    names = [r[0] for r in RULES] if patterns.shape[1] == len(RULES) else list(map(str, range(patterns.shape[1])))
+    names = [r[0] for r in RULES[: patterns.shape[1]]]
     accuracy = prior[:-1] @ wrong[:-1] + prior[-1] * (1 - wrong[-1])
     return post[-1], {"prior_good": float(prior[-1]), "accuracy": dict(zip(names, accuracy.tolist())), "false_alarms": dict(zip(names, wrong[-1].tolist()))}
 
@@ -192,7 +210,7 @@ def score_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     ``base_failed``: fewer than 10 words, or more than 20 % of the words in repeated 5-word windows. ``quality`` is the
     posterior probability of good quality given the rules' votes, ``kept`` is false where the base rules fail, else quality >=
     threshold. Null and empty texts have no words and fail; repeated rows and null doc_ids stay and count as
-    documents of their own; an empty table gives an empty one; other columns are not read. Only counts of vote patterns (at most 3**8)
+    documents of their own; an empty table gives an empty one; other columns are not read. Only counts of vote patterns (at most 3**11)
     reach the driver. The measures are written once to the shared folder, so that the two passes read texts once.
     """
     spark = docs.sparkSession
@@ -206,8 +224,8 @@ def score_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     quality = F.lit(0.0)
     if rows:
         patterns = np.array([[r[v] for v in votes] for r in rows], dtype=np.int64)
-        post, _ = fit(patterns, np.array([r["count"] for r in rows], dtype=float))
+        post, _ = fit(patterns, np.array([r["count"] for r in rows], dtype=float), hints=np.array([r[0] in HINTS for r in RULES]))
         model = spark.createDataFrame([(*map(int, p), float(q)) for p, q in zip(patterns, post)], ", ".join(f"{v} tinyint" for v in votes) + ", quality double")
-        measured = measured.join(F.broadcast(model), votes, "left")  # at most 3**8 rows
+        measured = measured.join(F.broadcast(model), votes, "left")  # at most 3**11 rows
         quality = F.col("quality")
     return measured.select("doc_id", *COUNTS[:5], failed.alias("base_failed"), (~failed & (quality >= threshold)).alias("kept"), quality.alias("quality"), *votes)

@@ -1,0 +1,123 @@
+"""Parts of the methods against plain versions: hashes, expectation-maximisation, posting lists, exact libraries."""
+
+import math
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from taskplane.llm import katz, kernels, neardup, weak_rules
+
+
+# hashes -----------------------------------------------------------------------------------------------------------------
+def thue_morse(n: int) -> tuple[str, str]:
+    x = [0]
+    while len(x) < n:
+        x += [1 - v for v in x]
+    return "".join("ab"[v] for v in x), "".join("ba"[v] for v in x)
+
+
+@pytest.mark.parametrize("n", [2, 32, 64, 1024, 2048, 4096, 131_072])
+def test_words_that_meet_in_polynomial_hashes(n):
+    a, b = thue_morse(n)
+    assert sorted(a) == sorted(b)
+    h = kernels.hashes(*(lambda d, o: (d, *kernels.spans(~kernels.SPACE[d], o)))(*kernels.flatten(pa.array([f"{a} {b}"]))))
+    assert h[0] != h[1]
+    got = weak_rules.count_batch(pa.array([f"{a} x\n{b} x"]))
+    assert (got["n_dup_lines"][0], got["n_distinct"][0]) == (0, 3)
+    one, two = [s for _, run in neardup.shingle_sets(pa.array([f"{a} w x y z", f"{b} w x y z"]), 4) for s in run]
+    assert np.intersect1d(one, two).size == 1
+
+
+def test_hash_of_a_word_hangs_on_nothing_around_it():
+    rng = np.random.default_rng(0)
+    words = ["".join(map(chr, rng.integers(97, 123, n))) for n in [1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 300, 70_000] for _ in range(3)]
+    for lower in (False, True):
+        alone = [int(kernels.hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]), lower)[0]) for w in words]
+        text = np.frombuffer(" ".join(w.upper() if lower else w for w in words).encode(), np.uint8)
+        s, e = kernels.spans(~kernels.SPACE[text], np.array([0, text.size]))
+        assert kernels.hashes(text, s, e, lower).tolist() == alone and len(set(alone)) == len(set(words))
+
+
+def test_katz_tells_long_words_apart(spark):
+    a, b = thue_morse(2048)
+    docs = spark.createDataFrame([(0, f"{a} {a} {a}"), (1, b)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in katz.score_texts(docs, lambda i: i == 0).collect()}
+    assert (got[0]["n_known"], got[1]["n_known"]) == (4, 1)
+
+
+# quality rules ----------------------------------------------------------------------------------------------------------
+def plain_em(patterns, counts, kinds, shared, most, rounds):
+    """The same model with loops over patterns, classes and rules."""
+    n, rules = len(kinds) + 1, len(patterns[0])
+    post = []
+    for v in patterns:
+        hit = [any(v[r] < 0 for r in range(rules) if m[r]) for m in kinds]
+        row = [(0.9 / sum(hit) if h else 0.0) if any(hit) else (0.1 / len(kinds) if k < shared else 0.0) for k, h in enumerate(hit)]
+        post.append([*row, 1 - sum(row)])
+    for _ in range(rounds):
+        wrong, prior = [[0.0] * rules for _ in range(n)], [0.0] * n
+        for c in range(n):
+            weight = weak_rules.PRIOR if c == n - 1 else 0
+            prior[c] = (sum(w * p[c] for w, p in zip(counts, post)) + 1) / (sum(counts) + n)
+            for r in range(rules):
+                bad = sum(w * p[c] for w, p, v in zip(counts, post, patterns) if v[r] < 0)
+                voted = sum(w * p[c] for w, p, v in zip(counts, post, patterns) if v[r])
+                wrong[c][r] = (bad + 1 + weight * weak_rules.FALSE_ALARM) / (voted + 2 + weight)
+        wrong[-1] = [min(x, most[r]) for r, x in enumerate(wrong[-1])]
+        post = []
+        for v in patterns:
+            like = []
+            for c in range(n):
+                p = prior[c] * math.prod(wrong[c][r] if v[r] < 0 else 1 - wrong[c][r] if v[r] > 0 else 1.0 for r in range(rules))
+                if shared <= c < n - 1 and not any(v[r] < 0 for r in range(rules) if kinds[c][r]):
+                    p = 0.0
+                like.append(p)
+            post.append([x / sum(like) for x in like])
+    return [p[-1] for p in post], wrong, prior
+
+
+def test_expectation_maximisation_against_loops():
+    rng = np.random.default_rng(11)
+    n = 30_000
+    kind = rng.choice(3, n, p=[0.85, 0.1, 0.05])
+    rate = np.array([[0.002, 0.001, 0.002, 0.001, 0.15], [0.7, 0.6, 0.01, 0.01, 0.15], [0.01, 0.01, 0.8, 0.7, 0.15]])
+    votes = np.where(rng.random((n, 5)) < 0.1, 0, np.where(rng.random((n, 5)) < rate[kind], -1, 1))
+    patterns, at, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    hints = np.array([False] * 4 + [True])
+    finds = ~hints
+    kinds, shared, most = weak_rules.kinds_of_junk((patterns < 0)[:, finds].astype(float), (patterns > 0)[:, finds].astype(float), counts.astype(float))
+    kinds, most = [weak_rules._widened(k, finds, False).tolist() for k in kinds], weak_rules._widened(most, finds, 1.0).tolist()
+    want, wrong, prior = plain_em(patterns.tolist(), counts.tolist(), kinds, shared, most, 40)
+    got, info = weak_rules.fit(patterns, counts.astype(float), rounds=40, hints=hints)
+    assert got == pytest.approx(want, abs=1e-6) and info["prior_good"] == pytest.approx(prior[-1], abs=1e-6)
+    assert list(info["false_alarms"].values()) == pytest.approx(wrong[-1], abs=1e-6)
+    # the noisy rule's votes weigh little: a text with no other bad vote is kept
+    alone = np.flatnonzero((patterns[:, :4] > 0).all(axis=1) & (patterns[:, 4] < 0))[0]
+    assert got[alone] > 0.9 and abs(list(info["false_alarms"].values())[4] - 0.15) < 0.02
+    assert ((got >= 0.5)[at] == (kind == 0)).mean() > 0.97
+
+
+def test_a_rule_that_is_made_noisy_loses_its_weight():
+    rng = np.random.default_rng(12)
+    kind = (rng.random(50_000) < 0.15).astype(int)
+    single = {}
+    for alarm in (0.001, 0.2):
+        rate = np.array([[0.001] * 5 + [alarm], [0.5] * 5 + [0.5 if alarm < 0.1 else 0.25]])
+        votes = np.where(rng.random((kind.size, 6)) < rate[kind], -1, 1)
+        patterns, counts = np.unique(votes, axis=0, return_counts=True)
+        post, info = weak_rules.fit(patterns, counts.astype(float))
+        single[alarm] = post[np.flatnonzero((patterns[:, :5] > 0).all(axis=1) & (patterns[:, 5] < 0))[0]]
+    assert single[0.2] > 0.9 > single[0.001] + 0.3
+
+
+def test_quality_of_labelled_documents(spark):
+    """The posterior overrules votes of unreliable rules, and loses nothing against the veto of any reliable one."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = weak_rules.score_quality(docs)
+    bad = F.greatest(*[(F.col(f"v_{r[0]}") < 0).cast("int") for r in weak_rules.RULES])
+    rows = got.join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id").where("not base_failed").groupBy("label", "kept", bad.alias("bad")).count().collect()
+    n = lambda **k: sum(r["count"] for r in rows if all(r[c] == v for c, v in k.items()))
+    assert n(label=0, kept=False) >= 296 and n(label=1, kept=False) <= 7
+    assert n(label=1, kept=True, bad=1) > 100
