@@ -1,11 +1,15 @@
 """Near-duplicate groups by a signature-coordinate inverted join.
 
-Each distinct shingle set has a MinHash signature. It is posted under every coordinate-value pair; pairs that only one
-set has say nothing, and a set that is left with fewer postings than the match threshold cannot match any other (both
-are skipped). The rest is posted under its rarest pairs only: two sets that agree in at least MATCHES coordinates
-share one of the first m - MATCHES + 1 of either's m postings in any common order, rarest first. Sets that meet
-there form bundles; within a bundle collisions are counted on whole signatures, those with at least MATCHES are
-confirmed on the whole shingle sets, and the confirmed links make the groups.
+Each distinct shingle set has a MinHash signature and is posted under every coordinate-value pair. Skipped before anything is
+compared: pairs that only one set has, sets that are left with fewer postings than the match threshold, all but the rarest
+postings of a set (two sets that agree in at least MATCHES coordinates share one of the first m - MATCHES + 1 of either's m
+postings in any common order, rarest first), and posting lists that hold the same sets as another list. What is left is
+merged list by list: collisions of two sets of a list are counted over whole signatures, and pairs with at least MATCHES are
+retained, to be confirmed on the whole shingle sets, which are fetched by key for these pairs alone.
+
+Hot lists (copies with small changes share most of their postings) never give all their pairs. A first round retains a
+maximum spanning forest of each list, which confirms nearly all links; a second one asks only about pairs of different
+groups of the first, so that no link between groups is lost and none inside a group is looked for.
 """
 
 from __future__ import annotations
@@ -23,9 +27,10 @@ from .scratch import Scratch, bound_batches, shuffle_partitions
 
 #: Coordinates of a signature, and collisions from which a pair is kept: at a similarity of 0.8 a pair has fewer with probability 2e-7.
 COORDINATES, MATCHES = 40, 18
-#: Sets of a bundle, and shingles in them, that one task compares; larger bundles are cut into blocks, and each pair of blocks is a
-#: task's unit.
-BLOCK_SETS, BLOCK_SHINGLES = 768, 4_000_000
+#: Sets of a posting list that one task compares with as many others; longer lists are cut into blocks of about so many.
+BLOCK_SETS = 512
+#: Pairs of one set that are confirmed from one copy of it, and ids that may be broadcast.
+PAIRS_A_COPY, BROADCAST_IDS = 64, 1_000_000
 
 _rng = np.random.default_rng(777)
 _XOR = _rng.integers(0, 2**63, size=COORDINATES, dtype=np.int64).astype(K.U64)
@@ -70,78 +75,115 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature array<long>")
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def collisions(sig: np.ndarray) -> np.ndarray:
+    """(sets, sets) numbers of coordinates in which two signatures agree."""
+    out = np.zeros((len(sig), len(sig)), dtype=np.int8)
+    for k in range(sig.shape[1]):
+        out += sig[:, k, None] == sig[None, :, k]
+    return out
 
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
+def spanning_forest(weight: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a maximum spanning forest; 0 is no edge."""
+    seen, best, origin, out = np.zeros(len(weight), dtype=bool), np.zeros(len(weight), dtype=np.int64), np.zeros(len(weight), dtype=np.int64), []
+    for _ in range(len(weight)):
+        open_ = np.where(seen, -1, best)
+        v = int(open_.argmax())
+        if open_[v] > 0:
+            out.append((int(origin[v]), v))
+        seen[v] = True
+        better = weight[v] > best
+        origin[better], best[better] = v, weight[v][better]
+    return out
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets (of one block, or between the two sides of a pair of blocks).
+def retained(sig: np.ndarray, sizes: np.ndarray, ids: np.ndarray, groups: np.ndarray, pivot: np.ndarray, percent: int, forest: bool) -> list[tuple[int, int]]:
+    """Pairs of a unit with enough collisions, of different ids and groups, whose sizes allow the similarity; with ``forest`` only
+    as many as join them. Two sets of the same marked side (``pivot`` 0) are another unit's pair."""
+    weight = collisions(sig)
+    low, high = np.minimum(sizes[:, None], sizes), np.maximum(sizes[:, None], sizes)
+    weight[(weight < MATCHES) | (100 * low < percent * high) | (groups[:, None] == groups) | (ids[:, None] == ids) | ((pivot[:, None] == pivot) & (pivot >= 0))] = 0
+    if forest:
+        return spanning_forest(weight)
+    return list(zip(*(x.tolist() for x in np.nonzero(np.triu(weight)))))
 
-    Collisions are counted on signatures. The pairs kept are confirmed on the whole sets, most collisions first, and a pair
-    whose ends are already joined is skipped: it cannot change the groups. Where many pairs are left, intersections are counted
-    for all of them at once.
-    """
-    n = len(sets)
-    if n < 2:
-        return []
-    sig = signatures(sets)
-    ids = np.empty(sig.shape, dtype=np.int32)
-    for k in range(COORDINATES):
-        ids[:, k] = np.unique(sig[:, k], return_inverse=True)[1]
-    sizes = np.array([s.size for s in sets])
-    found = []
-    for i in range(n - 1):
-        others = np.flatnonzero((ids[i + 1 :] == ids[i]).sum(axis=1) >= MATCHES) + i + 1 if side[i] < 0 else np.flatnonzero(((ids[i + 1 :] == ids[i]).sum(axis=1) >= MATCHES) & (side[i + 1 :] != side[i])) + i + 1
-        small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-        others = others[100 * small >= percent * large]
-        if others.size:
-            found.append(np.stack([np.full(others.size, i), others, (ids[others] == ids[i]).sum(axis=1)]))
-    if not found:
-        return []
-    pairs = np.concatenate(found, axis=1)
-    pairs = pairs[:, np.argsort(-pairs[2], kind="stable")]
-    forest, links = _Forest(n), []
-    if pairs.shape[1] > 8 * n:
-        shared = _intersections(sets)
-        both = shared[pairs[0], pairs[1]].astype(np.int64)
-        keep = 100 * both >= percent * (sizes[pairs[0]] + sizes[pairs[1]] - both)
-        return [(a, b) for a, b in zip(pairs[0, keep].tolist(), pairs[1, keep].tolist()) if forest.join(a, b)]
-    for a, b in zip(pairs[0].tolist(), pairs[1].tolist()):
-        if forest.find(a) != forest.find(b):
-            both = np.intersect1d(sets[a], sets[b], assume_unique=True).size
-            if 100 * both >= percent * (sizes[a] + sizes[b] - both):
-                forest.join(a, b)
-                links.append((a, b))
-    return links
-
-
-def _intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections: shingles in slices, each slice a product of 0/1 matrices (exact in 32 bits)."""
-    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [s.size for s in sets])
-    value, at, count = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = count[at] > 1
-    row, at = row[keep], np.unique(at[keep], return_inverse=True)[1]
-    order = np.argsort(at, kind="stable")
-    row, at = row[order], at[order]
-    out, step = np.zeros((len(sets), len(sets)), dtype=np.float32), 4096
-    for lo in range(0, int(at[-1]) + 1 if at.size else 0, step):
-        a, b = np.searchsorted(at, [lo, lo + step])
-        m = np.zeros((len(sets), step), dtype=np.float32)
-        m[row[a:b], at[a:b] - lo] = 1
-        out += m @ m.T
-    return out
+
+def _pairs_of(units: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(u, v), u < v, of units (posting, i, j, side, id, n, signature, grp): one streamed pass, a unit at a time in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            if rows.num_rows > 1:
+                get = lambda c: rows[c].to_numpy()
+                sig = rows["signature"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+                ids = get("id")
+                found = retained(sig, get("n"), ids, get("grp"), get("side"), percent, forest)
+                if found:
+                    a, b = ids[np.array(found)].T
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
+
+        key = None
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            start = 0
+            for at, k in enumerate([*keys, None]):
+                if at == len(keys) or k != key:
+                    if at > start:
+                        held.append(batch.slice(start, at - start))
+                    if at < len(keys):
+                        if held:
+                            yield from flush()
+                        key, start = k, at
+        if held:
+            yield from flush()
+
+    ordered = units.repartition(shuffle_partitions(units.sparkSession), "posting", "i", "j").sortWithinPartitions("posting", "i", "j", "id")
+    return ordered.select("posting", "i", "j", "side", "id", "n", "signature", "grp").mapInArrow(run, "u long, v long").distinct()
+
+
+def _attach(pairs: DataFrame, sets: DataFrame, end: str) -> DataFrame:
+    """pairs (a written table) with the set of one end. A set of many pairs is copied, one copy for PAIRS_A_COPY of them, and its pairs
+    are dealt to the copies, so that no key is hot."""
+    copies = pairs.groupBy(end).agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("copies")).where("copies > 1")
+    n = F.coalesce("copies", F.lit(1))
+    dealt = pairs.join(copies, end, "left").withColumn("copy", F.pmod(F.xxhash64("u", "v"), n.cast("long")).cast("int")).drop("copies")
+    copied = sets.withColumnRenamed("id", end).join(copies, end, "left").select(end, F.explode(F.sequence(F.lit(0), n - 1)).alias("copy"), F.col("set").alias(f"set_{end}"))
+    return dealt.join(copied, [end, "copy"]).drop("copy")
+
+
+def whole_sets(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(id, set) of the texts (id, text) whose id is in ``ids`` (a written table)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.slices(batch, 1):
+                sets = [s.tobytes() for _, run in shingle_sets(part.column(1), n) for s in run]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+
+    chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return texts.join(chosen, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, set binary").where(F.length("set") > 0)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a written table) that are similar on their whole sets."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v = [], []
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), K.U64), np.frombuffer(y.as_py(), K.U64)
+                both = np.intersect1d(x, y, assume_unique=True).size
+                if 100 * both >= percent * (x.size + y.size - both):
+                    u.append(a)
+                    v.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    both = _attach(_attach(pairs, sets, "u"), sets, "v")
+    return both.select("u", "v", "set_u", "set_v").mapInArrow(check, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame:
@@ -152,67 +194,53 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame
     document, class_id is the smallest doc_id with the same set. Null, empty and blank texts have an empty set, are linked
     with nothing and are kept. Rows that share a doc_id are one document with the links of each; a null doc_id is linked with
     nothing, has a null component and is kept. Exact copies count as one set from the start. An empty table gives an
-    empty one; other columns are not read. No cap on partners or postings: hot pairs are skipped only where the prefix proves that
-    a rarer pair finds the same partners.
+    empty one; other columns are not read. No cap on partners or postings: postings are skipped only where the prefix or
+    an equal list proves that another one finds the same partners, pairs only where a group holds both already.
     """
     spark = docs.sparkSession
     scratch, partitions = Scratch(spark, "near-duplicates"), shuffle_partitions(spark)
     bound_batches(spark)
     all_docs = scratch.write(describe(docs, n), "documents")
     usable = all_docs.where("digest is not null and doc_id is not null")
-    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min("signature").alias("signature"), F.min("n_shingles").alias("n_shingles"))
+    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
     classes = scratch.write(classes, "classes")
-    postings = classes.select("class_id", F.explode("signature").alias("posting"))
+    postings = classes.select("digest", F.explode("signature").alias("posting"))
     # what meets a side with hot keys is written first: the adaptive join splits a hot key only between scans
     shared = scratch.write(postings.groupBy("posting").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    kept = postings.join(shared, "posting").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("n", "posting"))).alias("p")).where(F.size("p") >= MATCHES)
-    prefix = kept.select("class_id", F.explode(F.slice("p", F.lit(1), F.size("p") - MATCHES + 1)).alias("e")).select("class_id", F.col("e.posting").alias("posting"))
+    kept = postings.join(shared, "posting").groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("n", "posting"))).alias("p")).where(F.size("p") >= MATCHES)
+    prefix = kept.select("digest", F.explode(F.slice("p", F.lit(1), F.size("p") - MATCHES + 1)).alias("e")).select("digest", F.col("e.posting").alias("posting"))
     prefix = scratch.write(prefix, "prefix")
-    first = scratch.write(prefix.groupBy("posting").agg(F.min("class_id").alias("v")), "first")
-    bundles = components(prefix.join(first, "posting").select(F.col("class_id").alias("u"), "v"), scratch, "bundles")
-    bundles = scratch.write(bundles, "bundles")
-    sized = bundles.join(classes.select(F.col("class_id").alias("node"), "n_shingles"), "node")
-    n_blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("n_blocks")
-    blocks = scratch.write(sized.groupBy("component").agg(n_blocks), "blocks")
-    members = bundles.join(blocks, "component").select(F.col("node").alias("__id"), "component", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks").cast("long")).cast("int").alias("block"))
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s.tobytes() for _, run in shingle_sets(batch.column(4), n) for s in run]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], names=["id", "component", "n_blocks", "block", "set"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text")
-    sets = texts.join(members.hint("shuffle_hash"), "__id").select("__id", "component", "n_blocks", "block", "text").mapInArrow(sets_of, "id long, component long, n_blocks int, block int, set binary").where(F.length("set") > 0)
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    units = sets.withColumn("other", other).select("id", "set", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
-    units = units.repartition(max(partitions, 1), "component", "i", "j").sortWithinPartitions("component", "i", "j", "id")
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids_, sets_, sides = None, [], [], []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            side = np.array(sides) if key and key[1] != key[2] else np.full(len(sides), -1)
-            links = linked(sets_, side, percent)
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([ids_[a] for a, _ in links], pa.int64()), pa.array([ids_[b] for _, b in links], pa.int64())], names=["u", "v"])
-
-        for batch in batches:
-            columns = [batch.column(k) for k in range(6)]
-            for i, s, *k, b in zip(columns[0].to_pylist(), columns[1], columns[2].to_pylist(), columns[3].to_pylist(), columns[4].to_pylist(), columns[5].to_pylist()):
-                if tuple(k) != key:
-                    yield from flush()
-                    key, ids_, sets_, sides = tuple(k), [], [], []
-                ids_.append(i)
-                sets_.append(np.frombuffer(s.as_py(), dtype=K.U64))
-                sides.append(b)
-        yield from flush()
-
-    links = scratch.write(units.mapInArrow(confirm, "u long, v long"), "links")
+    # lists of the same sets are one list: their number and two 64-bit digests of the sets agree
+    lists = prefix.groupBy("posting").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("a"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("b")).where("n > 1")
+    lists = scratch.write(lists.groupBy("n", "a", "b").agg(F.min("posting").alias("posting")).select("posting", F.ceil(F.col("n") / BLOCK_SETS).cast("int").alias("n_blocks")), "lists")
+    members = prefix.join(lists, "posting").join(classes, "digest").select("posting", "n_blocks", F.pmod(F.xxhash64("digest", F.lit(2)), F.col("n_blocks").cast("long")).cast("int").alias("block"), F.col("class_id").alias("id"), F.col("n_shingles").alias("n"), "signature")
+    members = scratch.write(members, "members")
+    scratch.drop("shared", "prefix", "lists")
+    ids = scratch.write(members.select("id").distinct(), "ids")
+    sets = scratch.write(whole_sets(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, n), "sets")
+    # first round: each block with itself and with the first block
+    last = F.col("n_blocks") - 1
+    units = members.withColumn("j", F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), last)).otherwise(F.array("block")))).withColumns({"i": F.lit(0), "side": F.when((F.col("block") == 0) & (F.col("j") > 0), F.lit(0)).otherwise(F.lit(-1)), "grp": F.col("id")})
+    first_pairs = scratch.write(_pairs_of(units, percent, True), "first")
+    first = components(confirmed(first_pairs, sets, percent), scratch, "first-groups")
+    first = scratch.write(first, "first-nodes")
+    # second round: pairs of different groups, in lists that hold several
+    grouped = members.join(first.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("grp", F.coalesce("component", "id")).drop("component")
+    open_ = scratch.write(grouped.groupBy("posting").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a < b").select("posting"), "open")
+    units = grouped.join(open_, "posting").withColumn("other", F.explode(F.sequence(F.lit(0), last))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    units = units.withColumn("side", F.when(F.col("i") < F.col("j"), F.col("block")).otherwise(F.lit(-1)))
+    second_pairs = scratch.write(_pairs_of(units, percent, False).join(first_pairs, ["u", "v"], "left_anti"), "second")
+    links = confirmed(second_pairs, sets, percent)
     # rows that share a doc_id but not a text: the document joins its classes
     doc_class = usable.join(classes.select("digest", "class_id"), "digest").select("doc_id", "class_id")
     twice = usable.groupBy("doc_id").agg(F.count_distinct("digest").alias("sets")).where("sets > 1").select("doc_id")
     links = links.union(doc_class.join(twice, "doc_id").select(F.col("doc_id").alias("u"), F.col("class_id").alias("v")))
-    groups = scratch.write(components(links, scratch, "groups"), "groups")
+    named = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"{c}_"))
+    between = links.join(named("u"), "u", "left").join(named("v"), "v", "left").select(F.coalesce("u_", "u").alias("u"), F.coalesce("v_", "v").alias("v"))
+    second = scratch.write(components(between, scratch, "second-groups"), "second-nodes").select(F.col("node").alias("component"), F.col("component").alias("final"))
+    merged = first.join(second, "component", "left").select("node", F.coalesce("final", "component").alias("component"))
+    alone = second.join(first, second["component"] == first["node"], "left_anti").select(F.col("component").alias("node"), F.col("final").alias("component"))
+    groups = scratch.write(merged.union(alone), "groups")
     out = all_docs.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(classes.select("digest", "class_id"), "digest", "left")
     out = out.withColumn("class_id", F.coalesce("class_id", "doc_id")).join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")
     component = F.coalesce("component", "class_id")

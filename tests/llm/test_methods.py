@@ -121,3 +121,62 @@ def test_quality_of_labelled_documents(spark):
     n = lambda **k: sum(r["count"] for r in rows if all(r[c] == v for c, v in k.items()))
     assert n(label=0, kept=False) >= 296 and n(label=1, kept=False) <= 7
     assert n(label=1, kept=True, bad=1) > 100
+
+
+# near duplicates --------------------------------------------------------------------------------------------------------
+def variants(rng, n, rate, words=90):
+    return [" ".join(f"w{i}" if rng.random() > rate else f"x{rng.integers(10**9)}" for i in range(words)) for _ in range(n)]
+
+
+def test_retained_pairs_against_loops():
+    rng = np.random.default_rng(4)
+    sets = [s for _, run in neardup.shingle_sets(pa.array(variants(rng, 40, 0.02) + variants(rng, 20, 0.2) + ["a b c d e"] * 2), 4) for s in run]
+    sig, sizes = neardup.signatures(sets), np.array([s.size for s in sets])
+    ids, groups, side = np.arange(len(sets)), np.arange(len(sets)) // 2, np.where(np.arange(len(sets)) < 10, 0, 1)
+    agree = lambda i, j: sum(int(x == y) for x, y in zip(sig[i], sig[j]))
+    fits = lambda i, j: 100 * min(sizes[i], sizes[j]) >= 80 * max(sizes[i], sizes[j])
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if agree(i, j) >= neardup.MATCHES and fits(i, j)}
+    alone = np.full(len(sets), -1)
+    assert set(neardup.retained(sig, sizes, ids, ids, alone, 80, False)) == want
+    assert set(neardup.retained(sig, sizes, ids, groups, alone, 80, False)) == {(i, j) for i, j in want if i // 2 != j // 2}
+    assert set(neardup.retained(sig, sizes, ids, ids, np.where(side == 0, 0, -1), 80, False)) == {(i, j) for i, j in want if not (i < 10 and j < 10)}
+    edges, up = neardup.retained(sig, sizes, ids, ids, alone, 80, True), list(range(len(sets)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in edges:
+        assert (min(i, j), max(i, j)) in want and find(i) != find(j)
+        up[find(i)] = find(j)
+    assert all(find(i) == find(j) for i, j in want)
+
+
+@pytest.mark.parametrize("block, ids", [(neardup.BLOCK_SETS, neardup.BROADCAST_IDS), (8, 0)])
+def test_posting_lists_of_many_near_copies(spark, monkeypatch, block, ids):
+    """Chains: a long list in which most sets are similar to few others, so that the second round has work to do."""
+    monkeypatch.setattr(neardup, "BLOCK_SETS", block)
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", ids)
+    monkeypatch.setattr(neardup, "PAIRS_A_COPY", 2)
+    rng = np.random.default_rng(6)
+    texts = variants(rng, 70, 0.03) + variants(rng, 30, 0.06)
+    words = [f"c{i}" for i in range(400)]
+    texts += [" ".join(words[k * 6 : k * 6 + 120]) for k in range(40)]
+    sets = [set(zip(*(t.split()[k:] for k in range(4)))) for t in texts]
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(1000 + i, t) for i, t in enumerate(texts[:5])], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert {i: got[i] for i in range(len(texts))} == {i: find(i) for i in range(len(texts))}
+    assert all(got[1000 + i] == find(i) for i in range(5))
