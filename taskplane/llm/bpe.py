@@ -1,7 +1,8 @@
 """BPE encoding and decoding: merge ranks in a priority queue over a doubly linked list of symbols.
 
 The vocabulary file (``tokenizers`` JSON, BPE with a word-end suffix) is a parameter and is read by the executors
-once per Python worker. Distinct words are encoded once per task and kept in a bounded table.
+once per Python worker. Distinct words are encoded once per task and kept in a bounded table. Texts outside ASCII are normalised
+and split by the vocabulary's own rules in its own library, whose Unicode tables are not Python's; the merges are made here.
 """
 
 from __future__ import annotations
@@ -10,19 +11,17 @@ import hashlib
 import heapq
 import json
 import struct
-import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from . import kernels as K
 from .scratch import bound_batches
 
-#: What the vocabulary's regex library counts as white space (fixed values of the Unicode property).
-_SPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
 #: Words kept by a task before its table starts anew.
 CACHE_WORDS = 300_000
 
@@ -62,8 +61,10 @@ class WordBpe:
             self._left.append(self.vocab[a])
             self._right.append(self.vocab[b])
             self._made.append(self.vocab[a + b])
-        split = next(t["pattern"]["Regex"] for t in spec["pre_tokenizer"]["pretokenizers"] if t["type"] == "Split")
-        self._words = regex.compile(split.replace(r"\s", _SPACE)).findall
+        split = next(t for t in spec["pre_tokenizer"]["pretokenizers"] if t["type"] == "Split")
+        self._ascii_words = regex.compile(split["pattern"]["Regex"]).findall
+        self._split = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), split["behavior"].lower(), split["invert"]).pre_tokenize_str
+        self._normalise = Tokenizer.from_file(path).normalizer.normalize_str
         self._special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self._cache: dict[str, tuple[bytes, str]] = {}
 
@@ -116,11 +117,11 @@ class WordBpe:
         got = self._cache[word] = (struct.pack(f"<{len(ids)}I", *ids), " ".join([self.strings[i] for i in ids]))
         return got
 
-    def normalise(self, text: str) -> str:
-        """NFC, then each character in lower case by itself; white space only separates words, so it stays."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
+    def words(self, text: str) -> list[str]:
+        """The words whose symbols are merged: normalised, without the white space between them."""
+        if text.isascii():
+            return self._ascii_words(text.lower())
+        return [w for w, _ in self._split(self._normalise(text))]
 
     def both(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text."""
@@ -137,7 +138,7 @@ class WordBpe:
 
     def _plain(self, text: str) -> tuple[bytes, str]:
         get, miss = self._cache.get, self._miss
-        got = [get(w) or miss(w) for w in self._words(self.normalise(text))]
+        got = [get(w) or miss(w) for w in self.words(text)]
         got = [x for x in got if x[0]]
         return b"".join([x[0] for x in got]), " ".join([x[1] for x in got])
 
