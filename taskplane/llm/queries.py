@@ -35,17 +35,23 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts as byte tokens; the shards are written to the shared folder."""
+    """The texts as 16-bit ids of a public vocabulary, whose free id 50256 ends a document; the shards are written to the shared folder."""
+    import public_tokenizers
+
     from .scratch import Scratch
-    from .training_order import write_order
+    from .training_order import encode_ids, write_order
 
-    return write_order(table(spark, sf_dir, "documents"), Scratch(spark, "shards").path, key=20240229)
+    scratch = Scratch(spark, "shards")
+    tokens = scratch.write(encode_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), "tokens")
+    out = write_order(tokens, f"{scratch.path}/order", key=20240229, ids="ids", end=50256)
+    scratch.drop("tokens")
+    return out
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_report
 
-    return mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
+    return mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "shards", "orders")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
