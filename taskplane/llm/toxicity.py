@@ -303,11 +303,11 @@ def learn(labelled: DataFrame) -> Model | None:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from, threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS, keep: list[str] | None = None) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, score (0 to 1) and predicted (score >= threshold); with ``keep``, these
-    columns of docs, ``__score`` and ``__predicted``.
+    columns of docs, ``__score`` and ``__predicted`` (with more underscores where docs has such columns; they are the last two).
 
     ``labels`` has (doc_id, toxic); ``learn_from`` maps its doc_id column to the condition for learning from a row. Of these at
-    most ``sample_rows`` are used, the least by a hash of doc_id; a doc_id with several labels counts as toxic if one says so, null
-    labels and doc_ids are left out. Only the text is an input of the score. Null and empty texts have zero features and get
+    most ``sample_rows`` are used, the least by a hash of doc_id; a doc_id with several labels counts as toxic if one says so, one with
+    several rows gives one of them (the least by a hash of the text); null labels and doc_ids are left out. Only the text is an input of the score. Null and empty texts have zero features and get
     the score of such a row; without rows of both classes every score is the share of toxic ones (0 without rows).
     Repeated rows and null doc_ids stay, an empty table gives an empty one, other columns are not read. The scan of docs that
     scores is the only one that keeps nothing back; the sample is written once.
@@ -319,12 +319,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from, threshold: fl
     usable = usable.where(learn_from(F.col("__id"))).groupBy("__id").agg(F.max("toxic").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)  # bounded, so that it may be broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text")
-    labelled = texts.join(F.broadcast(chosen), "__id").select(F.col("__id").alias("doc_id"), "text", "toxic", F.pmod(F.xxhash64(F.lit(7), "__id"), F.lit(FOLDS)).cast("int").alias("__fold"))
+    one = texts.join(F.broadcast(chosen), "__id").groupBy("__id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    labelled = one.select(F.col("__id").alias("doc_id"), "text", "toxic", F.pmod(F.xxhash64(F.lit(7), "__id"), F.lit(FOLDS)).cast("int").alias("__fold"))
     labelled = scratch.write(labelled, "sample")
     model = learn(labelled)
     rate = 0.0 if model else float(labelled.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0])
 
-    kept, (score_name, predicted_name) = (["doc_id"], ("score", "predicted")) if keep is None else (keep, ("__score", "__predicted"))
+    kept, score_name, predicted_name = (["doc_id"], "score", "predicted") if keep is None else (keep, "__score", "__predicted")
+    while keep and {score_name, predicted_name} & {c.lower() for c in keep}:
+        score_name, predicted_name = f"_{score_name}", f"_{predicted_name}"
     rows = docs.select(F.col("text").alias("__text"), *([F.col("doc_id").cast("long").alias("doc_id")] if keep is None else [F.col(f"`{c}`") for c in keep]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
