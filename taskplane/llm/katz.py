@@ -31,6 +31,8 @@ from .scratch import Scratch, shuffle_partitions
 CUTOFF = 5
 #: Bytes of text in a block, and distinct n-grams that an owner should get.
 BLOCK_BYTES, OWNER_NGRAMS = 10 << 20, 3_000_000
+#: Bytes of input in a bucket of blocks, which one task answers; Spark takes at most 100,000 buckets unless it is told otherwise.
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 100_000
 #: Contexts with more than this share of all tokens (at most as many as its inverse, and the beginning) are spread over owners.
 HEAVY_SHARE = 1 / 65_536
 END = K.U64(0xE0D0E0D0E0D0E0D1)
@@ -161,9 +163,14 @@ class KatzModel:
 
         self._table = f"katz_blocks_{uuid.uuid4().hex[:12]}"
         rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "trained").mapInArrow(run, BLOCK_SCHEMA)
-        rows.write.bucketBy(shuffle_partitions(self.spark), "block").option("path", self.scratch.location("blocks")).saveAsTable(self._table)
+        rows.write.bucketBy(self._buckets(texts), "block").option("path", self.scratch.location("blocks")).saveAsTable(self._table)
         return self.spark.table(self._table)
 
+    def _buckets(self, texts: DataFrame) -> int:
+        """Buckets of about BUCKET_BYTES of the input, by the planner's estimate of its size (the bytes of its files)."""
+        size = int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return min(max(shuffle_partitions(self.spark), -(-size // BUCKET_BYTES)), MOST_BUCKETS)
+
     # level 1: words ----------------------------------------------------------------------------------------------
     def _words(self, blocks: DataFrame) -> DataFrame:
         parts = self._parts
