@@ -20,36 +20,43 @@ from taskplane.llm.toxicity import score_toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is at least 0.7 go."""
+    """Documents whose toxicity score is at least 0.7 go. Null and empty texts have zero features and stay, as do repeated rows and
+    null doc_ids that are not toxic; an empty table stays empty; columns may have any names."""
     labels = table(spark, sf_dir, "labels")
-    return score_toxicity(docs, labels, lambda doc_id: ~held_out(doc_id, 3, 1), keep=docs.columns).where("`__predicted` = 0").select(*docs.columns)
+    scored = score_toxicity(docs, labels, lambda doc_id: ~held_out(doc_id, 3, 1), keep=docs.columns)
+    return scored.where(F.col(scored.columns[-1]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that of the smallest doc_id, in one row if the id repeats (the least by a hash of its
-    columns). Null doc_ids are no duplicates of anything: their rows all stay."""
+    columns). Null doc_ids are no duplicates of anything: their rows all stay. Null, empty and blank texts are no duplicates either; an
+    empty table stays empty; columns may have any names."""
     gone = near_duplicates(docs, n=5).where("not kept").select("doc_id").distinct()
     counts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     repeated = Scratch(spark, "repeated-ids").write(counts, "ids")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    single = docs.join(gone.unionByName(repeated), "doc_id", "left_anti").select(*docs.columns)
+    single = docs.join(gone.unionByName(repeated), "doc_id", "left_anti").select(*columns)
     kept = docs.join(repeated.join(gone, "doc_id", "left_anti"), "doc_id", "left_semi")
     least = F.min_by(F.struct(*columns), F.xxhash64(*columns, *[c.isNull() for c in columns])).alias("row")
     return single.unionByName(kept.groupBy("doc_id").agg(least).select("row.*"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data give way to surrogates; n_chars follows the text."""
+    """Personal data give way to surrogates; n_chars follows the text. Null and empty texts stay as they are, repeated rows get the same
+    text, an empty table stays empty; columns may have any names that do not begin with two underscores."""
     out = replace_entities(docs)
-    return out.select(*[F.when(F.size("__entities") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return out.select(*[F.when(F.size("__entities") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in the mix's proportions: a row for each time that a document is taken."""
+    """Sources in the mix's proportions: a row for each time that a document is taken, in shards and in each shard in the order of its
+    local shuffle, which is the order of the files' rows. Null sources are a source, null texts have no words, repeated rows are taken
+    together, an empty table stays empty; the columns may have any names but ``__shard`` and ``__order``."""
     return materialise(docs).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each row: null and empty texts have no ids, repeated rows stay, only doc_id and text are read."""
     return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
