@@ -229,6 +229,25 @@ def test_large_bundles_are_cut_into_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == plain_groups(rows)
 
 
+def test_both_ways_of_confirming_agree():
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(90)]
+    import pyarrow as pa
+
+    texts = variants(rng, base, 60, 0.02)
+    sets = [s for _, run in neardup.shingle_sets(pa.array(texts), 4) for s in run]
+    both = neardup._intersections(sets)
+    for i in range(60):
+        for j in range(60):
+            if i != j:
+                assert both[i, j] == len(set(sets[i].tolist()) & set(sets[j].tolist()))
+    groups = plain_groups(list(enumerate(texts)))
+    forest = neardup._Forest(60)
+    for a, b in neardup.linked(sets, np.full(60, -1), 80):
+        forest.join(a, b)
+    assert {i: forest.find(i) for i in range(60)} == groups
+
+
 def test_near_duplicates_of_odd_rows(spark):
     docs = odd_documents(spark).unionByName(spark.createDataFrame([(4, "another text of one id", "s", 1, "x"), (50, "another text of one id", "s", 1, "x")], odd_documents(spark).schema))
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
