@@ -4,9 +4,10 @@ Entities are found by one regular expression. A surrogate is a keyed permutation
 Feistel network whose rounds shift each character within its class (digits stay digits, upper case stays upper case, Greek stays
 Greek, vowels of a name stay vowels) by a keyed hash of the other half. It is the same wherever the entity occurs, and
 two entities of one form never share one. What a permutation cannot promise (a surrogate that equals its original or
-some other person's data, or that meets another form's surrogate) is checked over all distinct entities, and those
-that fail are drawn again until none is left. Entities that a permutation cannot hide (masks, scripts without an alphabet here) or
-whose form has no surrogate left get one made from a keyed hash, in a wider alphabet or with digits added.
+some other person's data, or that meets another form's surrogate) is checked over all distinct entities, and only those
+that fail are drawn again. Each draw of a name has more given names to choose from; entities that a permutation cannot hide (masks,
+scripts without an alphabet here) or whose form is nearly full get a surrogate from a keyed hash, in a wider alphabet or with
+digits added, from a space that grows until all have one.
 """
 
 from __future__ import annotations
@@ -57,17 +58,19 @@ PATTERNS = (
     ("phone", r"(?<![\d+])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,5}){2,5}|\d{3}([ .-])\d{3}\1\d{4})(?!\d)"),
     ("name", rf"(?<!\p{{L}})(?:{_title})\.? \p{{Lu}}[\p{{L}}'’-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'’-]{{1,40}})?"),
 )
-FINDER = "|".join(f"(?:{p})" for _, p in PATTERNS)
-#: Texts without a match of this cheap expression have no entity.
-GATE = rf"[0-9@=:]|(?:{_title})"
+#: What a text must contain for a match of each type: any of these strings or, for the numbers, this cheap expression.
+_NUMBER = r"\d[\d .()-]{3,}\d"
+_NEEDED = {
+    "email": ("@",), "secret": ("passw", "pwd", "secret", "token", "api_key", "apikey"), "access_key": ("AKIA", "ASIA"), "iban": r"[A-Z]{2}\d{2}",
+    "ip": _NUMBER, "card": _NUMBER, "national_id": _NUMBER, "phone": _NUMBER, "name": tuple(t for t in sorted({t for ts in TITLES.values() for t in ts}) if not any(t != u and t.startswith(u) for us in TITLES.values() for u in us)),
+}
 ROUNDS = 4
 #: Redrawn entities up to which their draws are put into the plan as literals; beyond, they are joined.
 INLINE_REDRAWS = 1000
-MOST_ROUNDS = 40
-#: Draws from which on a surrogate is made freely.
-FREE_DRAW = 20
-#: Kinds whose whole text a free surrogate replaces, and kinds that it adds digits to; the others have 10**11 surrogates a form at least.
-_FREE, _LONGER = ("email", "ip", "name", "secret"), ("phone", "national_id")
+#: Draws from which on a surrogate is made freely, and after how many more addresses get their longer form.
+FREE_DRAW, LONG_DRAWS = 4, 4
+#: Kinds whose whole text a free surrogate replaces; the others get digits added to them.
+_FREE = ("email", "ip", "name", "secret")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -131,14 +134,16 @@ def _check_digits(country_last: Column) -> Column:
 
 
 def _given(e: Column, title: Column, seed: Column) -> Column:
-    """A given name of the title's gender and the name's script; the gender of titles for either is drawn."""
-    bare = F.regexp_replace(title, r"\.$", "")
+    """A given name of the title's gender and the name's script; the gender of titles for either is drawn. Later draws have two and
+    then three names."""
+    bare, draw = F.regexp_replace(title, r"\.$", ""), F.element_at(F.split(seed, r"\|"), -1).cast("int")
     script = F.when(e.rlike(r"\p{IsCyrillic}"), "cyrillic").when(e.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
     def choose(pick: Column) -> Column:
         gender = F.when(bare.isin(*TITLES["male"]), "male").when(bare.isin(*TITLES["female"]), "female").when(F.pmod(pick, F.lit(2)) == 1, "male").otherwise("female")
         names = F.create_map(*[x for (g, s), n in GIVEN.items() for x in (F.lit(f"{g} {s}"), F.array(*map(F.lit, n)))])
-        return let(F.element_at(names, F.concat_ws(" ", gender, script)), lambda n: F.element_at(n, (F.pmod(F.floor(pick / 2), F.size(n).cast("long")) + 1).cast("int")))
+        one = lambda n, k: F.element_at(n, (F.pmod(F.floor(pick / (2 * 16**k)), F.size(n).cast("long")) + 1).cast("int"))
+        return let(F.element_at(names, F.concat_ws(" ", gender, script)), lambda n: F.concat_ws("-", one(n, 0), F.when(draw > 0, one(n, 1)), F.when(draw > 1, one(n, 2))))
 
     return let(F.conv(F.substring(F.sha2(F.concat(F.lit("given|"), seed, F.lit("|"), F.lower(e)), 256), F.lit(1), F.lit(7)), 16, 10).cast("long"), choose)
 
@@ -215,7 +220,7 @@ def _stuck(kind: Column, movable: Column) -> Column:
     return F.when(kind.isin("email", "name", "secret"), let(F.lower(movable), few)).otherwise(False)
 
 
-def _free(kind: Column, e: Column, seed: Column) -> Column:
+def _free(kind: Column, e: Column, seed: Column, draw: Column) -> Column:
     """A surrogate of a kind of _FREE from a keyed hash; names and e-mail in the entity's script where it has an alphabet here."""
     title = F.regexp_extract(e, _TITLE, 0)
     letters = F.when(e.rlike(r"\p{IsCyrillic}"), "абвгдежзиклмнопр").when(e.rlike(r"\p{IsGreek}"), "αβγδεζηθικλμνξοπ").otherwise("abcdefghiklmnopr")
@@ -225,6 +230,7 @@ def _free(kind: Column, e: Column, seed: Column) -> Column:
         octet = lambda i: F.conv(F.substring(h, F.lit(i), F.lit(2)), 16, 10)
         return (
             F.when(kind == "email", let(spelled, lambda w: F.concat(F.substring(w, F.lit(1), F.lit(12)), F.lit("@"), F.substring(w, F.lit(13), F.lit(12)), F.regexp_extract(e, _TAIL, 0))))
+            .when((kind == "ip") & (draw >= FREE_DRAW + LONG_DRAWS), F.concat(F.lit("fd"), F.substring(h, F.lit(1), F.lit(2)), *[F.concat(F.lit(":"), F.substring(h, F.lit(i), F.lit(4))) for i in range(3, 31, 4)]))
             .when(kind == "ip", F.concat_ws(".", octet(1), octet(3), octet(5), octet(7)))
             .when(kind == "name", F.concat_ws(" ", title, F.when(F.size(F.split(F.regexp_replace(e, _TITLE, ""), " ")) > 2, _given(e, title, seed)), F.initcap(F.substring(spelled, F.lit(1), F.lit(12)))))
             .otherwise(F.substring(h, F.lit(1), F.lit(24)))
@@ -233,84 +239,130 @@ def _free(kind: Column, e: Column, seed: Column) -> Column:
     return let(F.sha2(F.concat(F.lit("free|"), seed, F.lit("|"), canonical(kind, e)), 256), made)
 
 
-def _added(kind: Column, e: Column, seed: Column) -> Column:
-    """Four digits or more, so that a number has ten at least."""
+def _added(kind: Column, e: Column, seed: Column, draw: Column) -> Column:
+    """Four digits or more, so that a number has ten at least; one more with each draw."""
     h = F.sha2(F.concat(F.lit("added|"), seed, F.lit("|"), canonical(kind, e)), 256)
-    return F.right(F.lpad(F.conv(F.substring(h, F.lit(1), F.lit(14)), 16, 10), 10, "0"), F.greatest(10 - F.length(_digits(e)), F.lit(4)))
+    digits = F.array_join(F.transform(_chars(F.substring(h, F.lit(1), F.lit(60))), lambda c: F.pmod(F.conv(c, 16, 10).cast("int"), F.lit(10)).cast("string")), "")
+    return F.substring(digits, F.lit(1), F.greatest(10 - F.length(_digits(e)), F.lit(4)) + draw - FREE_DRAW)
 
 
 def surrogate(kind: Column, e: Column, key: str, draw: Column) -> Column:
+    free = kind.isin(*_FREE)
+
     def made(seed: Column) -> Column:
-        moved = lambda m: let(permuted(m, seed, _alphabets(kind, e)), lambda p: F.concat(_assembled(kind, e, p, seed), F.when((draw >= FREE_DRAW) & kind.isin(*_LONGER), _added(kind, e, seed)).otherwise("")))
-        return let(_movable(kind, e), lambda m: F.when(((draw >= FREE_DRAW) & kind.isin(*_FREE)) | _stuck(kind, m), _free(kind, e, seed)).otherwise(moved(m)))
+        more = F.when((draw >= FREE_DRAW) & ~free, _added(kind, e, seed, draw)).otherwise("")
+        moved = lambda m: let(permuted(m, seed, _alphabets(kind, e)), lambda p: F.concat(_assembled(kind, e, p, seed), more))
+        return let(_movable(kind, e), lambda m: F.when(((draw >= FREE_DRAW) & free) | _stuck(kind, m), _free(kind, e, seed, draw)).otherwise(moved(m)))
 
     return let(F.concat(F.lit(f"{key}|"), kind, F.lit("|"), draw.cast("string")), made)
 
 
-def _found(text: Column) -> Column:
-    return F.when(text.rlike(GATE), F.regexp_extract_all(text, F.lit(FINDER), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def _finder(text: Column, number: Column) -> Column:
+    """The expression for the types that a text can hold, in order of precedence; empty if it can hold none. ``number`` tells whether it has
+    a match of _NUMBER."""
+
+    def holds(t: Column, strings: tuple) -> Column:
+        out = F.lit(False)
+        for x in strings:
+            out = out | t.contains(x)
+        return out
+
+    def able(kind: str) -> Column:
+        need = _NEEDED[kind]
+        if kind == "secret":
+            return F.when(holds(text, ("=", ":")), holds(F.lower(text), need)).otherwise(False)
+        return (number & text.contains(".") if kind == "ip" else number) if need == _NUMBER else text.rlike(need) if isinstance(need, str) else holds(text, need)
+
+    return F.concat_ws("|", *[F.when(able(name), F.lit(f"(?:{pattern})")) for name, pattern in PATTERNS])
+
+
+def parted(docs: DataFrame) -> DataFrame:
+    """docs with ``__parts``: the texts with entities cut into gap, entity, gap, ..., gap; null for the others. One pass of the expression
+    marks the entities with a string that the text does not hold."""
+    text = F.col("text")
+    mark = F.when(text.contains("\x00"), F.concat(F.lit("\x00"), F.md5(text.cast("binary")), F.lit("\x00"))).otherwise(F.lit("\x00"))
+    marked = docs.withColumn("__number", text.rlike(_NUMBER)).withColumns({"__finder": _finder(text, F.col("__number")), "__mark": mark})
+    cut = F.split(F.regexp_replace(text, F.col("__finder"), F.concat("__mark", F.lit("$0"), "__mark")), F.col("__mark"), -1)
+    parts = marked.withColumn("__parts", F.when(F.col("__finder") != "", cut)).drop("__number", "__finder", "__mark")
+    return parts.withColumn("__parts", F.when(F.size("__parts") > 1, F.col("__parts")))
+
+
+def _odd(parts: Column) -> Column:
+    return F.filter(parts, lambda _, i: F.pmod(i, F.lit(2)) == 1)
 
 
 def redraws(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """(kind, canon, draw) of the entities whose surrogate had to be drawn again.
 
-    ``entities`` has one row (kind, canon, entity) an entity. In each round the surrogates of all entities are grouped: one
-    that equals an original of its kind, or that several entities share, is bad; of those that share one, the least by hash keeps
-    it. Bad ones get the next draw. Rounds are set-based; the number of bad entities falls with each, and draws from FREE_DRAW on
-    have so much space that hardly any is left after them.
+    ``entities`` has one row (kind, canon, entity) an entity. A surrogate that equals an original of its kind or a settled
+    surrogate is bad; of those that share one in a round, the least by hash keeps it. Only bad ones get the next draw. From FREE_DRAW on
+    draws have so much space, and more with each draw, that the rounds end whatever the entities are.
     """
-    state = entities.withColumn("draw", F.lit(0))
-    for k in range(MOST_ROUNDS):
-        made = state.withColumn("made", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("entity"), key, F.col("draw"))))
+    pending, settled, k = entities.withColumn("draw", F.lit(0)), [], 0
+    while True:
+        made = pending.withColumn("made", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("entity"), key, F.col("draw"))))
         made = scratch.write(made, f"round-{k}")
-        originals = made.select("kind", F.col("canon").alias("made"), F.lit(True).alias("real"))
-        keeper = made.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min(F.struct("draw", F.xxhash64("canon"), "canon")).alias("keeps"))
-        judged = keeper.where("n > 1").select("kind", "made", F.col("keeps.canon").alias("keeps"))
-        bad = made.join(originals, ["kind", "made"], "left").join(judged, ["kind", "made"], "left").where("real or (keeps is not null and canon <> keeps)")
-        state_bad = bad.select("kind", "canon", F.lit(1).alias("more"))
-        n = state_bad.count()
-        if not n:
-            return made.where("draw > 0").select("kind", "canon", "draw")
-        nxt = made.join(state_bad, ["kind", "canon"], "left").select("kind", "canon", "entity", (F.col("draw") + F.coalesce("more", F.lit(0))).alias("draw"))
-        state = scratch.write(nxt, f"state-{k}")
-    raise ValueError(f"{n} entities have no surrogate of their own form left after {MOST_ROUNDS} draws")
+        taken = entities.select("kind", F.col("canon").alias("made"))
+        for rows in settled:
+            taken = taken.union(rows.select("kind", "made"))
+        keeper = made.groupBy("kind", "made").agg(F.min(F.struct(F.xxhash64("canon"), "canon")).alias("keeps"))
+        judged = made.join(keeper, ["kind", "made"]).join(taken.withColumn("real", F.lit(True)), ["kind", "made"], "left")
+        judged = scratch.write(judged.select("kind", "canon", "entity", "draw", "made", (F.col("real").isNull() & (F.col("canon") == F.col("keeps.canon"))).alias("good")), f"judged-{k}")
+        scratch.drop(f"round-{k}")
+        settled.append(judged.where("good"))
+        if judged.where("not good").isEmpty():
+            break
+        pending, k = judged.where("not good").select("kind", "canon", "entity", (F.col("draw") + 1).alias("draw")), k + 1
+    again = settled[-1] if k else settled[0].limit(0)
+    for rows in settled[1:-1]:
+        again = again.union(rows)
+    again = scratch.write(again.select("kind", "canon", "draw"), "redrawn")
+    scratch.drop(*[f"judged-{i}" for i in range(k + 1)])
+    return again
 
 
 def replace_entities(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     """docs with ``text`` replaced, and ``__entities``: array of (kind, original, surrogate) in order of occurrence.
 
-    Masked values (``password=****``) and scripts without an alphabet here get free surrogates. Null texts stay null and empty ones empty, with no entities; texts without entities stay as they are; repeated rows
+    Masked values (``password=****``), scripts without an alphabet here and forms without room get free surrogates. Null texts stay
+    null and empty ones empty, with no entities; texts without entities stay as they are; repeated rows
     get the same text; an empty table gives an empty one. Columns that docs has besides text pass through whatever their names are
-    (names that begin with ``__`` are this module's own). One pass collects the distinct entities (a hot one leaves each task
-    once), another replaces them in place; texts are not shuffled unless more than INLINE_REDRAWS entities were redrawn.
+    (names that begin with ``__`` are this module's own). One pass cuts all texts at their entities and writes them, the distinct entities
+    are read from there (a hot one leaves each task once), and so are the rows of the result: the cut table stays until it is
+    removed. Texts are not shuffled unless more than INLINE_REDRAWS entities were redrawn.
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "surrogates")
-    each = docs.where(F.col("text").isNotNull()).select(F.explode(_found(F.col("text"))).alias("entity"))
+    columns = docs.columns
+    found = parted(docs)
+    found = scratch.write(found.select(*[(F.when(F.col("__parts").isNull(), F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`")) for c in columns], "__parts"), "cut")
+    each = found.where("__parts is not null").select(F.explode(_odd(F.col("__parts"))).alias("entity"))
     kinds = each.groupBy("entity").agg(F.lit(1).alias("one")).select(entity_type(F.col("entity")).alias("kind"), "entity")
     kinds = scratch.write(kinds.withColumn("canon", canonical(F.col("kind"), F.col("entity"))), "mentions")
-    distinct = kinds.groupBy("kind", "canon").agg(F.min("entity").alias("entity"))
+    distinct = scratch.write(kinds.groupBy("kind", "canon").agg(F.min("entity").alias("entity")), "entities")
     again = redraws(distinct, key, scratch)
     n = again.count()
-    columns, text = docs.columns, F.col("text")
-    found = docs.withColumn("__found", F.coalesce(_found(text), F.array().cast("array<string>")))
+    scratch.drop("entities")
     if n <= INLINE_REDRAWS:
         rows = again.collect()  # at most INLINE_REDRAWS rows
+        scratch.drop("mentions", "redrawn")
         table = F.create_map(*[x for r in rows for x in (F.lit(f"{r['kind']}|{r['canon']}"), F.lit(r["draw"]))]) if rows else None
         draw_of = lambda kind, e: F.coalesce(F.try_element_at(table, F.concat(kind, F.lit("|"), canonical(kind, e))), F.lit(0)) if rows else F.lit(0)
     else:
-        again = scratch.write(again, "redrawn")
-        named = found.select(F.xxhash64("text", F.lit(1)).alias("__a"), F.xxhash64("text", F.lit(2)).alias("__b"), F.explode(F.array_distinct("__found")).alias("entity"))
+        named = found.where("__parts is not null").select(F.xxhash64("__parts", F.lit(1)).alias("__a"), F.xxhash64("__parts", F.lit(2)).alias("__b"), F.explode(F.array_distinct(_odd(F.col("__parts")))).alias("entity"))
         named = named.join(kinds, "entity").join(again, ["kind", "canon"]).groupBy("__a", "__b", "kind", "canon").agg(F.max("draw").alias("draw"))
         maps = named.groupBy("__a", "__b").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("|"), "canon").alias("k"), "draw"))).alias("__draws"))
-        found = found.withColumns({"__a": F.xxhash64("text", F.lit(1)), "__b": F.xxhash64("text", F.lit(2))}).join(maps, ["__a", "__b"], "left")
+        maps = scratch.write(maps, "draws")
+        scratch.drop("mentions", "redrawn")
+        found = found.withColumns({"__a": F.xxhash64("__parts", F.lit(1)), "__b": F.xxhash64("__parts", F.lit(2))}).join(maps, ["__a", "__b"], "left")
         draw_of = lambda kind, e: F.coalesce(F.try_element_at(F.col("__draws"), F.concat(kind, F.lit("|"), canonical(kind, e))), F.lit(0))
 
     def record(e: Column) -> Column:
         return let(entity_type(e), lambda kind: F.struct(kind.alias("kind"), e.alias("original"), surrogate(kind, e, key, draw_of(kind, e)).alias("surrogate")))
 
-    out = found.withColumn("__entities", F.transform("__found", record))
-    gaps = F.split(text, FINDER, -1)
+    entities = F.coalesce(F.transform(_odd(F.col("__parts")), record), F.array().cast("array<struct<kind:string,original:string,surrogate:string>>"))
+    out = found.withColumn("__entities", entities)
+    gaps = F.filter("__parts", lambda _, i: F.pmod(i, F.lit(2)) == 0)
     joined = F.array_join(F.zip_with(gaps, F.col("__entities"), lambda g, s: F.concat(g, F.coalesce(s["surrogate"], F.lit("")))), "")
-    replaced = F.when(F.size("__found") > 0, joined).otherwise(text)
+    replaced = F.when(F.col("__parts").isNull(), F.col("text")).otherwise(joined)
     return out.select(*[(replaced.alias("text") if c == "text" else F.col(f"`{c}`")) for c in columns], F.col("__entities"))
