@@ -7,9 +7,11 @@ Spark moves are few and large, their number grows with the input, and no task ev
 distinct n-grams: an owner is chosen by the context's number, for contexts that are too frequent for that by the
 whole n-gram.
 
-Level 1 are words, level 2 pairs of words. P(w | h) is the discounted relative frequency if the pair was seen in
-training, else alpha(h) P(w); P(w) in turn is the discounted relative frequency of a known word, else the mass that the discounts
-leave, which stands for all unknown words as one class. Over the known words and that class each distribution sums to 1.
+Level 1 are words, level n are pairs of a context, which is the n-gram of level n - 1 that ends before a word, and the word. P(w | h) is
+the discounted relative frequency if the pair was seen in training, else alpha(h) P(w | h'), where h' is the context of the level below;
+P(w) in turn is the discounted relative frequency of a known word, else the mass that the discounts leave, which stands for all unknown
+words as one class. Over the known words and that class each distribution sums to 1. All levels above the first are one
+function of the level below, ``order`` times; what a level has asked is dropped before the next one asks.
 """
 
 from __future__ import annotations
@@ -103,8 +105,8 @@ def block_rows(batch: pa.RecordBatch, block_bytes: int) -> Iterator[dict]:
 
 
 BLOCK_SCHEMA = "block long, ids array<long>, trained array<boolean>, lengths array<long>, vocab binary, tokens binary, counts binary, n_tokens long, n_train long, n_texts long"
-ANSWER_SCHEMA = "kind string, block long, part int, a binary, b binary, c binary, d binary"
-_ANSWER = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+ANSWER_SCHEMA = "kind string, block long, part int, a binary, b binary, c binary, d binary, e binary"
+_ANSWER = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("e", pa.binary())])
 
 
 def _blob(x: np.ndarray, ascending: bool = False) -> bytes:
@@ -127,14 +129,16 @@ def _counts_of_counts(counts: np.ndarray) -> np.ndarray:
 class KatzModel:
     """Training and scoring in one: ``texts`` (doc_id, text, trained) are all scored, the trained ones are counted.
 
-    After ``score`` the model's tables stand in the shared folder: ``words`` (part, hashes, counts) and ``pairs`` (kind 'model':
-    part, contexts and words as numbers, counts), each partitioned by owner.
+    After ``score`` the model's tables stand in the shared folder: ``words`` (part, hashes, counts) and ``level-2`` to ``level-<order>``
+    (kind 'model': part, contexts and words as numbers, counts), each partitioned by owner.
     """
 
-    def __init__(self, spark: SparkSession, block_bytes: int | None = None, owner_ngrams: int | None = None):
+    def __init__(self, spark: SparkSession, block_bytes: int | None = None, owner_ngrams: int | None = None, order: int = 2):
         """Blocks and owners take some 15 times block_bytes and 40 bytes an n-gram of a worker's memory. The rows that move number at
         most blocks x owners: with larger executors both should grow with the corpus."""
-        self.spark, self.scratch = spark, Scratch(spark, "katz")
+        if order < 1:
+            raise ValueError("order is at least 1")
+        self.spark, self.scratch, self.order = spark, Scratch(spark, "katz"), order
         self.block_bytes, self.owner_ngrams = block_bytes or BLOCK_BYTES, owner_ngrams or OWNER_NGRAMS
         self.unigrams: Unigrams | None = None
 
@@ -167,9 +171,10 @@ class KatzModel:
         return self.spark.table(self._table)
 
     def _buckets(self, texts: DataFrame) -> int:
-        """Buckets of about BUCKET_BYTES of the input, by the planner's estimate of its size (the bytes of its files)."""
-        size = int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-        return min(max(shuffle_partitions(self.spark), -(-size // BUCKET_BYTES)), MOST_BUCKETS)
+        """Buckets of about BUCKET_BYTES of the input, by the planner's estimate of its size (the bytes of its files); what is not
+        read from files has no estimate and gets the session's number of partitions."""
+        size, least = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), shuffle_partitions(self.spark)
+        return least if size >= 1 << 60 else min(max(least, -(-size // BUCKET_BYTES)), MOST_BUCKETS)
 
     # level 1: words ----------------------------------------------------------------------------------------------
     def _words(self, blocks: DataFrame) -> DataFrame:
@@ -214,22 +219,25 @@ class KatzModel:
         self.train_tokens = tokens
         return answers
 
-    # level 2: pairs ----------------------------------------------------------------------------------------------
-    def _pairs(self, blocks: DataFrame, words: DataFrame) -> DataFrame:
-        parts, uni = self._parts, self.unigrams
-        heavy = self._heavy = max(1, self.train_tokens // (4 * parts), int(self.train_tokens * HEAVY_SHARE))
+    # level n: a context of level n - 1 and a word -------------------------------------------------------------------
+    def _level(self, blocks: DataFrame, below: DataFrame, level: int) -> DataFrame:
+        """Asks about the n-grams of a level, knowing the answers ``below`` it, and returns the answers."""
+        parts, uni, heavy, more = self._parts, self.unigrams, self._heavy, level < self.order
+        known = self._known()
 
         def ask(block: pa.Table, answers: pa.Table) -> pa.Table:
             b = Block(block, answers, uni)
-            owner = np.where(b.pair_context_count > heavy, _mixed(b.pair_context, b.pair_word) % K.U64(parts), _mixed(b.pair_context, b.pair_context) % K.U64(parts)).astype(np.int32)
+            for n in range(2, level):
+                b.climb(n, answers, known)
+            b.pairs()
+            owner, order, cut = b.owners(known)
             rows = []
-            order = np.argsort(owner, kind="stable")
-            cut = np.searchsorted(owner[order], np.arange(parts + 1))
             for p in range(parts):
                 mine = order[cut[p] : cut[p + 1]]
                 if mine.size:
-                    rows.append((p, int(block["block"][0].as_py()), _blob(b.pair_context[mine], True), _blob(b.pair_word[mine]), _blob(b.pair_word_count[mine].astype(np.uint32)), _blob(b.pair_count[mine].astype(np.uint32)), _blob(b.pair_heavy(heavy)[mine])))
-            names = ["part", "block", "context", "word", "word_count", "count", "heavy"]
+                    lower = _blob(b.pair_lower[mine].astype(np.uint32)) if level == 2 else _blob(b.pair_lower[mine])
+                    rows.append((p, int(block["block"][0].as_py()), _blob(b.pair_context[mine], True), _blob(b.pair_word[mine]), lower, _blob(b.pair_count[mine].astype(np.uint32)), _blob((b.pair_context_count[mine] > heavy).astype(np.uint8))))
+            names = ["part", "block", "context", "word", "lower", "count", "heavy"]
             types = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
             return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
@@ -245,38 +253,40 @@ class KatzModel:
             at[order] = np.cumsum(first) - 1
             total = np.bincount(at, weights=np.concatenate(get("count", np.uint32)), minlength=int(first.sum())).astype(np.int64)
             context, word = context[order][first], word[order][first]
-            word_count = np.concatenate(get("word_count", np.uint32))[order][first].astype(np.int64)
+            lower = np.concatenate(get("lower", np.uint32 if level == 2 else np.float64))[order][first]
             is_heavy = np.concatenate(get("heavy", np.uint8))[order][first] > 0
-            # of each context: how many words followed it r times, occurrences beyond the cutoff, P of all words seen after it
+            # of each context: how many words followed it r times, occurrences beyond the cutoff, lower P of all words seen after it
             h, where = np.unique(context, return_inverse=True)
             seen = total > 0
             stats = np.zeros((h.size, CUTOFF + 2))
             for r in range(1, CUTOFF + 1):
                 stats[:, r - 1] = np.bincount(where[total == r], minlength=h.size)
             stats[:, CUTOFF] = np.bincount(where, weights=np.where(total > CUTOFF, total, 0), minlength=h.size)
-            stats[:, CUTOFF + 1] = np.bincount(where[seen], weights=uni.probability(word_count[seen]), minlength=h.size)
+            stats[:, CUTOFF + 1] = np.bincount(where[seen], weights=uni.probability(lower[seen].astype(np.int64)) if level == 2 else lower[seen], minlength=h.size)
             whole = ~stats[:, :CUTOFF].any(axis=1)  # contexts without a discounted follower
-            out, i = [], 0
+            number = np.arange(total.size, dtype=K.U64) + (K.U64(part) << K.U64(40))
+            out, i, kind = [], 0, f"level-{level}"
             for block, c in zip(rows["block"].to_pylist(), contexts):
                 mine = at[i : i + c.size]
                 r = total[mine]
                 asked = np.unique(where[mine[(r == 0) & ~is_heavy[mine]]])  # the contexts of its unseen pairs, ascending
-                out.append(("pair", block, part, _blob(r.astype(np.uint32)), _blob(stats[asked, :CUTOFF].astype(np.uint32).ravel()), _blob(stats[asked, CUTOFF:].ravel()), _blob(whole[where[mine[(r > CUTOFF) & ~is_heavy[mine]]]])))
+                out.append((kind, block, part, _blob(r.astype(np.uint32)), _blob(stats[asked, :CUTOFF].astype(np.uint32).ravel()), _blob(stats[asked, CUTOFF:].ravel()), _blob(whole[where[mine[(r > CUTOFF) & ~is_heavy[mine]]]]), _blob(number[mine]) if more else None))
                 i += c.size
-            out.append(("pairs", None, part, _counts_of_counts(total).astype(np.int64).tobytes(), None, None))
+            out.append(("counts", None, part, _counts_of_counts(total).astype(np.int64).tobytes(), None, None, None, None))
             top = np.zeros(h.size, bool)
             top[where[is_heavy]] = True
             if top.any():
-                out.append(("heavy", None, part, _blob(h[top]), _blob(stats[top].ravel()), None))
-            out.append(("model", None, part, _blob(context[seen], True), _blob(word[seen]), _blob(total[seen].astype(np.uint32))))
+                out.append(("heavy", None, part, _blob(h[top]), _blob(stats[top].ravel()), None, None, None))
+            out.append(("model", None, part, _blob(context[seen], True), _blob(word[seen]), _blob(total[seen].astype(np.uint32)), None, None))
             return pa.Table.from_pylist([dict(zip(_ANSWER.names, r)) for r in out], schema=_ANSWER)
 
-        schema = "part int, block long, context binary, word binary, word_count binary, count binary, heavy binary"
+        schema = "part int, block long, context binary, word binary, lower binary, count binary, heavy binary"
         chosen = blocks.select("block", "trained", "lengths", "tokens")
-        asked = chosen.groupBy("block").cogroup(words.where("kind = 'word'").groupBy("block")).applyInArrow(ask, schema)
-        answers = self.scratch.write(asked.groupBy("part").applyInArrow(merge, ANSWER_SCHEMA), "pairs")
-        n_r = sum((np.frombuffer(r["a"], np.int64) for r in answers.where("kind = 'pairs'").select("a").collect()), np.zeros(CUTOFF + 2, np.int64))  # a row an owner
-        self.d2 = good_turing(n_r)
+        asked = chosen.groupBy("block").cogroup(below.groupBy("block")).applyInArrow(ask, schema)
+        answers = self.scratch.write(asked.groupBy("part").applyInArrow(merge, ANSWER_SCHEMA), f"level-{level}")
+        n_r = sum((np.frombuffer(r["a"], np.int64) for r in answers.where("kind = 'counts'").select("a").collect()), np.zeros(CUTOFF + 2, np.int64))  # a row an owner
+        self.discounts[level] = good_turing(n_r)
+
         def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for h, x in zip(batch.column(0), batch.column(1)):
@@ -286,8 +296,11 @@ class KatzModel:
         names = ["h", *[f"s{k}" for k in range(CUTOFF + 2)]]
         tops = answers.where("kind = 'heavy'").select("a", "b").mapInArrow(unpack, "h long, " + ", ".join(f"{c} double" for c in names[1:]))
         rows = tops.groupBy("h").agg(*[F.sum(c).alias(c) for c in names[1:]]).collect()  # at most 1 / HEAVY_SHARE + 1 rows
-        self.heavy_stats = {r["h"] & 0xFFFFFFFFFFFFFFFF: np.array(r[1:]) for r in rows}
-        return answers
+        self.heavy_stats[level] = {r["h"] & 0xFFFFFFFFFFFFFFFF: np.array(r[1:]) for r in rows}
+        return answers.where(F.col("kind") == f"level-{level}")
+
+    def _known(self) -> Known:
+        return Known(self._parts, self._heavy, dict(self.discounts), dict(self.heavy_stats))
 
     # scores ------------------------------------------------------------------------------------------------------
     def score(self, texts: DataFrame) -> DataFrame:
@@ -296,39 +309,27 @@ class KatzModel:
         totals = blocks.agg(F.sum("n_tokens"), F.sum("n_train"), F.sum("n_texts")).first()
         self._texts = int(totals[2] or 0)
         self._parts = max(4, shuffle_partitions(self.spark), -(-int(totals[0] or 0) // self.owner_ngrams))
-        words = self._words(blocks)
-        pairs = self._pairs(blocks, words)
-        uni, d2, heavy_stats, heavy, parts, train = self.unigrams, self.d2, self.heavy_stats, self._heavy, self._parts, self.train_tokens
+        self.discounts: dict[int, np.ndarray] = {}
+        self.heavy_stats: dict[int, dict[int, np.ndarray]] = {}
+        answers = self._words(blocks).where("kind = 'word'")
+        self._heavy = max(1, self.train_tokens // (4 * self._parts), int(self.train_tokens * HEAVY_SHARE))
+        for level in range(2, self.order + 1):
+            answers = answers.union(self._level(blocks, answers, level))
+            self.spark._jvm.System.gc()  # shuffle files of the level's questions go when the JVM finds that nothing names them
+        uni, train, order, known = self.unigrams, self.train_tokens, self.order, self._known()
 
         def evaluate(block: pa.Table, answers: pa.Table) -> pa.Table:
             b = Block(block, answers, uni)
-            owner = np.where(b.pair_context_count > heavy, _mixed(b.pair_context, b.pair_word) % K.U64(parts), _mixed(b.pair_context, b.pair_context) % K.U64(parts)).astype(np.int32)
-            order = np.argsort(owner, kind="stable")
-            cut = np.searchsorted(owner[order], np.arange(parts + 1))
-            seen, stats = np.zeros(owner.size, np.int64), np.zeros((owner.size, CUTOFF + 2))
-            is_heavy, whole = b.pair_heavy(heavy) > 0, np.zeros(owner.size, bool)
-            for kind, part, r, n, rest, flags in zip(answers["kind"].to_pylist(), answers["part"].to_pylist(), answers["a"], answers["b"], answers["c"], answers["d"]):
-                if kind == "pair":
-                    mine = order[cut[part] : cut[part + 1]]
-                    seen[mine] = _load(r, np.uint32)
-                    unseen = mine[(seen[mine] == 0) & ~is_heavy[mine]]
-                    at = np.unique(b.pair_context[unseen], return_inverse=True)[1]
-                    stats[unseen] = np.hstack([_load(n, np.uint32).reshape(-1, CUTOFF), _load(rest, np.float64).reshape(-1, 2)])[at]
-                    whole[mine[(seen[mine] > CUTOFF) & ~is_heavy[mine]]] = _load(flags, np.bool_)
-            top = np.flatnonzero((seen > CUTOFF) & is_heavy)
-            tops, at = np.unique(b.pair_context[top], return_inverse=True)
-            whole[top] = np.array([not heavy_stats[h][:CUTOFF].any() for h in tops.tolist()], bool)[at]
-            for i in np.flatnonzero((seen == 0) & is_heavy):
-                stats[i] = heavy_stats.get(int(b.pair_context[i]), 0)
-            logp = pair_scores(seen, b.pair_context_count, uni.probability(b.pair_word_count), stats, whole, d2)
+            for level in range(2, order + 1):
+                b.climb(level, answers, known)
+            logp = b.log_p[b.gram_of_token]
             count = b.token_count
             base = np.log10((count + 1) / (train + uni.known + 1))
             sums = lambda x: np.add.reduceat(x, b.starts) if b.starts.size else np.zeros(0)
             trained = np.array(block["trained"][0].as_py(), dtype=bool)
-            return pa.table([pa.array(block["ids"][0].as_py(), pa.int64()), pa.array(~trained), pa.array(b.lengths), pa.array(sums((count > 0).astype(np.int64))), pa.array(np.full(b.lengths.size, train)), pa.array(sums(base)), pa.array(sums(logp[b.pair_of_token]))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            return pa.table([pa.array(block["ids"][0].as_py(), pa.int64()), pa.array(~trained), pa.array(b.lengths), pa.array(sums((count > 0).astype(np.int64))), pa.array(np.full(b.lengths.size, train)), pa.array(sums(base)), pa.array(sums(logp))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
         chosen = blocks.select("block", "ids", "trained", "lengths", "tokens")
-        answers = words.where("kind = 'word'").union(pairs.where("kind = 'pair'"))
         out = chosen.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
         out = self.scratch.write(out, "scores")
         self.spark.sql(f"drop table {self._table}")
@@ -361,40 +362,93 @@ def pair_scores(seen: np.ndarray, context_count: np.ndarray, lower: np.ndarray,
         return np.where(seen > 0, np.log10(discounted(seen, d) / np.maximum(context_count + whole, 1)), unseen)
 
 
+@dataclass
+class Known:
+    """What all blocks know of the levels: owners, the count from which a context is heavy, discounts, sums of heavy contexts."""
+
+    parts: int
+    heavy: int
+    discounts: dict[int, np.ndarray]
+    heavy_stats: dict[int, dict[int, np.ndarray]]
+
+
 class Block:
-    """A block with the answers of level 1: distinct pairs (context and word as numbers, the beginning of a text as a number
-    of its own), their training counts, and the place of every token's pair."""
+    """A block with the answers of the levels so far: of its distinct n-grams the numbers, training counts and log10 probabilities, and
+    the place of each token's n-gram among them."""
 
     def __init__(self, block: pa.Table, answers: pa.Table, uni: Unigrams):
-        tokens = _load(block["tokens"][0], np.uint32).astype(np.int64)
+        self.tokens = _load(block["tokens"][0], np.uint32).astype(np.int64)
         self.lengths = np.array(block["lengths"][0].as_py(), dtype=np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         word = sorted(((p, a, c) for k, p, a, c in zip(answers["kind"].to_pylist(), answers["part"].to_pylist(), answers["a"], answers["b"]) if k == "word"), key=lambda x: x[0])
-        number = np.concatenate([_load(a, K.U64, True) for _, a, _ in word])
+        self.word_number = np.concatenate([_load(a, K.U64, True) for _, a, _ in word])
         count = np.concatenate([_load(c, np.int64) for _, _, c in word])
-        v = number.size
-        context = np.empty(tokens.size, np.int64)
-        context[1:] = tokens[:-1]
+        self.token_count, self.texts = count[self.tokens], uni.texts
+        self.of_training = np.repeat(np.array(block["trained"][0].as_py(), dtype=bool), self.lengths)
+        self.gram_of_token, self.number, self.count, self.lower = self.tokens, self.word_number, count, count
+        self.log_p = np.log10(uni.probability(count))
+
+    def pairs(self) -> None:
+        """The n-grams of the next level: distinct pairs of a context (the beginning of a text is one of its own) and a word."""
+        v = self.number.size
+        context = np.empty(self.tokens.size, np.int64)
+        context[1:] = self.gram_of_token[:-1]
         context[self.starts] = v
-        key, self.pair_of_token = np.unique(context * (v + 1) + tokens, return_inverse=True)
-        h, w = np.divmod(key, v + 1)
-        numbers, counts = np.append(number, _BEGIN), np.append(count, uni.texts)
-        self.pair_context, self.pair_word = numbers[h], number[w]
-        self.pair_context_count, self.pair_word_count = counts[h], count[w]
-        self.token_count = count[tokens]
-        of_training = np.repeat(np.array(block["trained"][0].as_py(), dtype=bool), self.lengths)
-        self.pair_count = np.bincount(self.pair_of_token[of_training], minlength=key.size)
-
-    def pair_heavy(self, heavy: int) -> np.ndarray:
-        return (self.pair_context_count > heavy).astype(np.uint8)
-
-
-def score_texts(docs: DataFrame, learn_from) -> DataFrame:
-    """One row for each row of docs (doc_id, text); ``learn_from`` is the condition on doc_id for training.
+        words = self.word_number.size
+        key, first, self.pair_of_token = np.unique(context * words + self.tokens, return_index=True, return_inverse=True)
+        h, w = np.divmod(key, words)
+        below = self.gram_of_token[first]  # the same word after the shorter context
+        self.pair_context, self.pair_word = np.append(self.number, _BEGIN)[h], self.word_number[w]
+        self.pair_context_count = np.append(self.count, self.texts)[h]
+        self.pair_lower, self.pair_log_lower = self.lower[below], self.log_p[below]
+        self.pair_count = np.bincount(self.pair_of_token[self.of_training], minlength=key.size)
+        if (self.pair_context[1:] >= self.pair_context[:-1]).all():
+            return
+        order = np.lexsort((self.pair_word, self.pair_context))  # ascending numbers take less room in a question
+        place = np.empty(order.size, np.int64)
+        place[order] = np.arange(order.size)
+        self.pair_of_token = place[self.pair_of_token]
+        for name in ("pair_context", "pair_word", "pair_context_count", "pair_lower", "pair_log_lower", "pair_count"):
+            setattr(self, name, getattr(self, name)[order])
+
+    def owners(self, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The owner of each pair, the pairs in the order of their owners, and where each owner begins."""
+        parts = K.U64(known.parts)
+        owner = np.where(self.pair_context_count > known.heavy, _mixed(self.pair_context, self.pair_word) % parts, _mixed(self.pair_context, self.pair_context) % parts).astype(np.int32)
+        order = np.argsort(owner, kind="stable")
+        return owner, order, np.searchsorted(owner[order], np.arange(known.parts + 1))
+
+    def climb(self, level: int, answers: pa.Table, known: Known) -> None:
+        """From the n-grams of the level below to those of ``level``, with its answers."""
+        self.pairs()
+        owner, order, cut = self.owners(known)
+        seen, stats, number = np.zeros(owner.size, np.int64), np.zeros((owner.size, CUTOFF + 2)), np.zeros(owner.size, K.U64)
+        heavy_stats, is_heavy, whole = known.heavy_stats[level], self.pair_context_count > known.heavy, np.zeros(owner.size, bool)
+        for kind, part, r, n, rest, flags, numbers in zip(answers["kind"].to_pylist(), answers["part"].to_pylist(), *(answers[c] for c in "abcde")):
+            if kind == f"level-{level}":
+                mine = order[cut[part] : cut[part + 1]]
+                seen[mine] = _load(r, np.uint32)
+                unseen = mine[(seen[mine] == 0) & ~is_heavy[mine]]
+                at = np.unique(self.pair_context[unseen], return_inverse=True)[1]
+                stats[unseen] = np.hstack([_load(n, np.uint32).reshape(-1, CUTOFF), _load(rest, np.float64).reshape(-1, 2)])[at]
+                whole[mine[(seen[mine] > CUTOFF) & ~is_heavy[mine]]] = _load(flags, np.bool_)
+                if numbers.is_valid:
+                    number[mine] = _load(numbers, K.U64)
+        top = np.flatnonzero((seen > CUTOFF) & is_heavy)
+        tops, at = np.unique(self.pair_context[top], return_inverse=True)
+        whole[top] = np.array([not heavy_stats[h][:CUTOFF].any() for h in tops.tolist()], bool)[at]
+        for i in np.flatnonzero((seen == 0) & is_heavy):
+            stats[i] = heavy_stats.get(int(self.pair_context[i]), 0)
+        self.log_p = pair_scores(seen, self.pair_context_count, 10.0**self.pair_log_lower, stats, whole, known.discounts[level])
+        self.gram_of_token, self.number, self.count, self.lower = self.pair_of_token, number, seen, 10.0**self.log_p
+
+
+def score_texts(docs: DataFrame, learn_from, order: int = 2) -> DataFrame:
+    """One row for each row of docs (doc_id, text); ``learn_from`` is the condition on doc_id for training, ``order`` the longest n-gram.
 
     Null and empty texts are one token, the end. Repeated rows count and are scored each, null doc_ids are scored and
     learned from if the condition says so (a null condition: no). Without training texts all words are unknown. An empty table
     gives an empty one; other columns are not read. A long text is part of a block of its own and is never cut.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learn_from(F.col("doc_id")), F.lit(False)).alias("trained"))
-    return KatzModel(docs.sparkSession).score(texts)
+    return KatzModel(docs.sparkSession, order=order).score(texts)

@@ -109,7 +109,8 @@ def plain_katz(rows):
         kept = sum(k * (d2[k] if k <= 5 else 1) for _, k in after[h])
         return (1 / (all_ + 1) if kept >= all_ else 1 - kept / all_) / (1 - sum(unigram(w) for w, _ in after[h]))
 
-    prob = lambda h, w: pairs[h, w] * (d2[pairs[h, w]] if pairs[h, w] <= 5 else 1) / context[h] if pairs[h, w] else alpha(h) * unigram(w)
+    whole = {h: all(k > 5 for _, k in x) for h, x in after.items()}  # no discounted follower: one occurrence more, for unseen words
+    prob = lambda h, w: pairs[h, w] * (d2[pairs[h, w]] if pairs[h, w] <= 5 else 1) / (context[h] + whole[h]) if pairs[h, w] else alpha(h) * unigram(w)
     scores = [(len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), sum(math.log10(prob(h, w)) for h, w in zip(["<s>", *t], t))) for t, _ in rows]
     return scores, prob, c, after, unigram, left / total if total else 1.0
 
