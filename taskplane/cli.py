@@ -8,14 +8,16 @@ from collections.abc import Callable
 from typing import Any
 
 from .monitor import JsonConsole, LiveConsole
-from .plans.store import Store
+from .plans.store import Dataset, ItemDataset, Store
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description="Run a pipeline of tasks.")
     p.add_argument("command", nargs="?", choices=["run", "list-tasks"], default="run")
-    p.add_argument("--tasks", metavar="NAME", help="stop at this checkpoint")
+    p.add_argument("--tasks", metavar="NAMES", help="stop at these checkpoints (names with commas between them)")
     p.add_argument("--store", metavar="PATH", help="folder of the checkpoints")
+    p.add_argument("--dataset", metavar="PATH", help="folder of a dataset that keeps the checkpoints; goes before --store")
+    p.add_argument("--files", action="store_true", help="the dataset has a file for each item")
     p.add_argument("-j", "--concurrency", type=int, help="most tasks at a time of row workers")
     p.add_argument("--no-live", action="store_true", help="append progress instead of rewriting it")
     p.add_argument("--json", action="store_true", help="progress as JSON lines")
@@ -31,6 +33,8 @@ def main(make: Callable[[], Any], argv: list[str] | None = None) -> int:
     engine = make()
     if args.store:
         engine.store = Store(engine.spark, args.store)
+    if args.dataset:
+        engine.dataset((Dataset if args.files else ItemDataset)(engine.spark, args.dataset))
     if args.concurrency:
         engine.concurrency = args.concurrency
     if args.command == "list-tasks":
@@ -42,7 +46,7 @@ def main(make: Callable[[], Any], argv: list[str] | None = None) -> int:
         return 0
     if args.tasks:
         try:
-            engine.select_tasks(args.tasks)
+            engine.select_tasks(*[t.strip() for t in args.tasks.split(",") if t.strip()])
         except ValueError as e:
             print(e, file=sys.stderr)
             return 2

@@ -24,13 +24,30 @@ class Backoff:
         return wait * (1 - min(1.0, max(0.0, self.jitter)) * (random.random() if draw is None else draw))
 
 
+def selection(select: str | tuple) -> tuple:
+    """A selection in its full form; names that need no more may stand alone."""
+    full = (select,) if isinstance(select, str) else tuple(select)
+    sizes = {"any": 1, "avoid_tried": 1, "different_instance": 1, "same_instance": 1, "same_attr": 2, "different_attr": 2, "where": 2}
+    if not full or full[0] not in sizes:
+        raise ValueError(f"unknown selection {select!r}")
+    if len(full) != sizes[full[0]] or (full[0] == "where" and not callable(full[1])):
+        raise ValueError(f"{full[0]!r} needs {'a predicate' if full[0] == 'where' else 'an attribute' if sizes[full[0]] > 1 else 'nothing more'}: {select!r}")
+    return full
+
+
 @dataclass
 class Retry:
-    """max_attempts counts the first one. ``select`` says where a retry goes unless the failure says otherwise."""
+    """max_attempts counts the first one. ``select`` says where a retry goes unless the failure says otherwise: a name or, for
+    ``same_attr``, ``different_attr`` and ``where``, a tuple of the name and the attribute or predicate. ``on_retry(task, error, attempt)`` is
+    called beside the worker for each attempt that will be repeated."""
 
     max_attempts: int = 1
-    select: str = "avoid_tried"
+    select: str | tuple = "avoid_tried"
     backoff: Backoff = field(default_factory=Backoff)
+    on_retry: Callable | None = None
+
+    def __post_init__(self) -> None:
+        selection(self.select)
 
     def again(self, attempt: int, fatal: bool) -> bool:
         return not fatal and attempt < self.max_attempts

@@ -26,14 +26,17 @@ class Reducer:
         columns = [c.alias(n) for n, c in self.aggregates.items()]
         return df.groupBy(*self.keys).agg(*columns) if self.keys else df.agg(*columns)
 
-    def value(self, df: DataFrame) -> Any:
-        """The finished value: a number, a tuple, or a dict by key. Keyed results are read to the driver; use ``apply`` for large ones."""
-        rows = self.apply(df).collect()
+    def finished(self, rows: list) -> Any:
+        """The value of the result's rows: a number, a tuple, or a dict by key."""
         pick = lambda r: r[-1] if len(self.aggregates) == 1 else tuple(r[len(self.keys) :])
         if not self.keys:
             return pick(rows[0])
         return {(r[0] if len(self.keys) == 1 else tuple(r[: len(self.keys)])): pick(r) for r in rows}
 
+    def value(self, df: DataFrame) -> Any:
+        """The finished value. Keyed results are read to the driver; use ``apply`` for large ones."""
+        return self.finished(self.apply(df).collect())
+
 
 def count(out: str = "n") -> Reducer:
     return Reducer({out: F.count("*")})

@@ -230,6 +230,108 @@ def boundary_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.stored("Saved").select(F.lit("Saved").alias("name"), "key", "total")
 
 
+# engine runs ------------------------------------------------------------------------------------------------------------
+@query(r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM documents) WHERE word <> '' AND length(word) > 3 GROUP BY word")
+def engine_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to words to long words to a keyed router: frame workers that are one plan."""
+    from .engine import Engine
+
+    engine = Engine(spark)
+    engine.worker("Doc", emits=["Word"])(lambda docs: relational.tokens(docs))
+    engine.worker("Word", emits=["Long"])(lambda words: words.where(F.length("word") > 3))
+    engine.router("Long", reducers.keyed_count("word")).seed("Doc", table(spark, sf_dir, "documents"))
+    return engine.run().frame("Long")
+
+
+@query("""SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'dead' WHEN o_orderkey % 3 = 0 THEN 'second' ELSE 'first' END AS how, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders
+  WHERE o_orderkey % 4 = 0 GROUP BY 1""")
+def engine_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row worker with two instances: the first one cannot do every third order, no one every seventh."""
+    from .engine import Engine, Retry, different_instance
+
+    def small(order, ctx) -> None:
+        if order.o_orderkey % 3 == 0:
+            raise different_instance("too large")
+        large(order, ctx)
+
+    def large(order, ctx) -> None:
+        if order.o_orderkey % 7 == 0:
+            raise RuntimeError("broken")
+        ctx.route("Done", how="first" if ctx.attempt == 1 and order.o_orderkey % 3 else "second", key=order.o_orderkey)
+
+    engine = Engine(spark, retry=Retry(max_attempts=3)).type("Done", "how string, key long")
+    engine.register("Order", small, label="small").register("Order", large, label="large")
+    engine.router("Done", reducers.Reducer({"n": F.count("*"), "keys": F.sum("key")}, ["how"]))
+    report = engine.seed("Order", table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").select("o_orderkey")).run()
+    dead = report.dead_letter_frame().select(F.lit("dead").alias("how"), F.get_json_object("task", "$.o_orderkey").cast("long").alias("key"))
+    return report.frame("Done").select("how", "n", "keys").unionByName(dead.groupBy("how").agg(F.count("*").alias("n"), F.sum("key").alias("keys")))
+
+
+@query("""SELECT CASE WHEN event_id < 500 THEN 'first' ELSE 'second' END AS run, count(DISTINCT event_id // 5) AS items, count(*) AS n_rows, sum(event_id)::BIGINT AS ids
+  FROM events WHERE event_id < 800 GROUP BY 1""")
+def engine_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over one store: the second has more rows and works only on the items that the first did not store."""
+    from .engine import Engine
+    from .store import Store
+
+    store = Store(spark)
+    out = []
+    for run, end in (("first", 500), ("second", 800)):
+        engine = Engine(spark, store=store)
+
+        @engine.worker("Line", emits=["Saved"])
+        def group(lines: DataFrame) -> DataFrame:
+            key = F.concat(F.lit("s"), F.floor(F.col("event_id") / 5))
+            return lines.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), provenance.union(F.col("_cov")).alias("_cov"), F.first("_source").alias("_source"))
+
+        engine.worker("Saved", emits=["Item"])(lambda saved: saved.select("n", "ids"))
+        engine.checkpoint("Saved", key="key").router("Item", reducers.Reducer({"items": F.count("*"), "n_rows": F.sum("n"), "ids": F.sum("ids")}, []))
+        items, n, ids = engine.source("Line", f"events, {run}", table(spark, sf_dir, "events").where(F.col("event_id") < end).select("event_id"), "event_id").run().output("Item")
+        out.append((run, items, n, ids))
+    return spark.createDataFrame(out, "run string, items long, n_rows long, ids long")
+
+
+@query("SELECT CASE WHEN event_id < 3000 THEN 'Resaved' ELSE 'Row' END AS name, event_id, CASE WHEN event_id < 3000 THEN 10 * user_id ELSE user_id END::BIGINT AS value FROM events")
+def dataset_resave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run keeps all rows in a dataset, another keeps some of them anew: the newer coverage supersedes, the rest is read as it was."""
+    from .engine import Engine
+    from .store import ItemDataset
+
+    dataset = ItemDataset(spark, shared.new_path(spark, "dataset"))
+    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("long").alias("value"))
+    Engine(spark, dataset=dataset).checkpoint("Row", key="event_id").source("Row", "events", events, "event_id").run()
+    again = events.where("event_id < 3000").withColumn("value", 10 * F.col("value"))
+    Engine(spark, dataset=dataset).checkpoint("Resaved", key="event_id").source("Resaved", "events again", again, "event_id").run()
+    return relational.union_all(*[dataset.read(n).select(F.lit(n).alias("name"), "event_id", "value") for n in ("Row", "Resaved")])
+
+
+@query("""SELECT (event_id_rank // 64)::BIGINT AS group_id, count(*) AS n_rows, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS n_covered
+  FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS event_id_rank FROM events) GROUP BY 1""")
+def engine_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row-batch router: one row a group, with its rows and the union of their coverage."""
+    from .engine import Engine
+
+    engine = Engine(spark).row_batch("Event", "Group", 64, ["event_id"], gather="rows").collect("Out")
+    engine.worker("Group", emits=["Out"])(lambda g: g.withColumn("n_covered", F.size("_cov").cast("long")))
+    engine.source("Event", "events", table(spark, sf_dir, "events").select("event_id"), "event_id")
+    (got,) = engine.run().collected["Out"]
+    ids = F.transform("rows", lambda r: r["event_id"])
+    return got.select("group_id", F.size("rows").cast("long").alias("n_rows"), F.array_min(ids).alias("first_id"), F.array_max(ids).alias("last_id"), "n_covered")
+
+
+@query("SELECT min(doc_id) AS doc_id, md5(text) AS digest FROM documents GROUP BY text")
+def engine_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deduplicating node between a target that is read and one that is written."""
+    from ..sources import read
+    from .engine import Engine
+
+    where = f"{shared.new_path(spark, 'unique')}/docs.parquet"
+    engine = Engine(spark).read("Doc", f"{sf_dir}/documents.parquet")
+    engine.worker("Doc", emits=["Keyed"])(lambda d: d.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest")))
+    engine.dedup("Keyed", ["digest"], "Unique", order=["doc_id"]).sink("Unique", where).run()
+    return read(spark, where).select("doc_id", "digest")
+
+
 # control --------------------------------------------------------------------------------------------------------------
 _ATTEMPT = "CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 1 + o_orderkey % 4 END"
 

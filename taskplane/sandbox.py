@@ -52,10 +52,12 @@ class LocalSandbox:
     def read_file(self, name: str) -> bytes:
         return self._inside(name).read_bytes()
 
-    def exec(self, command: list[str], stdin: bytes = b"") -> Result:
+    def exec(self, command: list[str], stdin: bytes = b"", timeout_s: float | None = None) -> Result:
+        """At most the spec's time, or less."""
+        limit = self.spec.timeout_s if timeout_s is None else min(timeout_s, self.spec.timeout_s)
         env = {"PATH": os.environ.get("PATH", ""), **self.spec.env}
         try:
-            done = subprocess.run(command, cwd=self.root, env=env, input=stdin, capture_output=True, timeout=self.spec.timeout_s)
+            done = subprocess.run(command, cwd=self.root, env=env, input=stdin, capture_output=True, timeout=limit)
             code, out, err, late = done.returncode, done.stdout, done.stderr, False
         except subprocess.TimeoutExpired as e:
             code, out, err, late = 124, e.stdout or b"", e.stderr or b"", True
@@ -74,9 +76,10 @@ class LocalSandbox:
     def tools(self) -> list[Tool]:
         """run_command, write_file and read_file for an agent."""
         text = {"type": "string"}
+        argv = {"type": "array", "items": text}
 
-        def run(command: str) -> str:
-            r = self.exec(["sh", "-c", command])
+        def run(command: list[str] | str, timeout_secs: float | None = None) -> str:
+            r = self.exec(["sh", "-c", command] if isinstance(command, str) else list(command), timeout_s=timeout_secs)
             return f"exit code {r.exit_code}\n{r.stdout.decode(errors='replace')}{r.stderr.decode(errors='replace')}"
 
         def write(path: str, content: str) -> str:
@@ -84,7 +87,7 @@ class LocalSandbox:
             return "ok"
 
         return [
-            Tool("run_command", "run a shell command in the sandbox", {"type": "object", "properties": {"command": text}, "required": ["command"]}, run),
+            Tool("run_command", "run a program with its arguments in the sandbox", {"type": "object", "properties": {"command": argv, "timeout_secs": {"type": "number"}}, "required": ["command"]}, run),
             Tool("write_file", "write a file in the sandbox", {"type": "object", "properties": {"path": text, "content": text}, "required": ["path", "content"]}, write),
             Tool("read_file", "read a file of the sandbox", {"type": "object", "properties": {"path": text}, "required": ["path"]}, lambda path: self.read_file(path).decode(errors="replace")),
         ]

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder is set only where it is unset (local use)."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder is set only where it is unset and everything runs in
+    one process (local use)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="taskplane-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -41,3 +44,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = hadoop_path(spark, path)
     fs.delete(p, True)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    fs, p = hadoop_path(spark, path)
+    fs.create(p, True).close()

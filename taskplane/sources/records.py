@@ -107,7 +107,7 @@ def write_rotating(df: DataFrame, path: str, batch: list[str], rotate_rows: int,
     return df.sparkSession.createDataFrame(rows.select(*kept, "__part").mapInArrow(run, "part long, rows long").collect(), "part long, rows long")
 
 
-def file_and_chunk(chunk_rows: int, order: Column | None = None) -> list[Column]:
+def file_and_chunk(chunk_rows: int) -> list[Column]:
     """The file and the chunk of each row of a file source: ``path#index``."""
     path = F.col("_metadata.file_path")
     index = F.floor(F.col("_metadata.row_index") / max(1, chunk_rows))

@@ -11,35 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..shared import new_path
+from ..shared import hadoop_path, new_path
 
 _END = object()
 
 
 class StreamHandle:
     """Rows of a frame while it is computed, at most ``capacity`` ahead of the reader; partitions come one after the other, so
-    that the driver never holds more than one. Errors are raised at the end; ``close`` (or leaving the with block) ends it."""
+    that the driver never holds more than one. Errors are raised at the end; ``close`` (or leaving the with block) ends it. ``rows()``
+    gives an iterator or, with ``pushes``, ``rows(put)`` hands rows to put, which is False once nobody reads."""
 
-    def __init__(self, rows: Callable[[], Iterator[Any]], capacity: int = 1024, finish: Callable[[], Any] | None = None):
+    def __init__(self, rows: Callable[..., Any], capacity: int = 1024, finish: Callable[[], Any] | None = None, pushes: bool = False):
         self._queue: queue.Queue = queue.Queue(max(1, capacity))
         self._stop, self._error, self.report = threading.Event(), None, None
-        self._rows, self._finish = rows, finish
+        self._rows, self._finish, self._pushes = rows, finish, pushes
         self._thread = threading.Thread(target=self._run, name="taskplane-stream", daemon=True)
         self._thread.start()
 
-    def _put(self, item: Any) -> None:
+    def _put(self, item: Any) -> bool:
         while not self._stop.is_set():
             try:
-                return self._queue.put(item, timeout=0.1)
+                self._queue.put(item, timeout=0.1)
+                return True
             except queue.Full:
                 continue
+        return False
 
     def _run(self) -> None:
         try:
-            for row in self._rows():
-                if self._stop.is_set():
+            for row in self._rows(self._put) or () if self._pushes else self._rows():
+                if not self._put(row):
                     break
-                self._put(row)
             if self._finish:
                 self.report = self._finish()
         except BaseException as e:
@@ -71,27 +73,36 @@ class StreamHandle:
 
 
 def stream(engine: Any, capacity: int = 1024) -> StreamHandle:
-    """Runs an engine in the background and hands out the rows of its collected types."""
+    """Runs an engine in the background and hands out the rows of its collected types as each of them is there, while the run goes on. A
+    reader that falls behind by ``capacity`` rows holds the run up; closing the handle shuts it down."""
     if not engine.collects:
         raise RuntimeError("stream() needs a collected type: call engine.collect(type) first")
     box: dict[str, Any] = {}
 
-    def rows() -> Iterator[Any]:
-        box["report"] = report = engine.run()
-        for frames in report.collected.values():
-            for frame in frames:
-                yield from frame.toLocalIterator(prefetchPartitions=True)
+    def run(put: Callable[[Any], bool]) -> None:
+        def live(_: str, frame: DataFrame) -> None:
+            for row in frame.toLocalIterator(prefetchPartitions=True):
+                if not put(row):
+                    engine.shutdown(grace_s=0)
+                    return
 
-    return StreamHandle(rows, capacity, lambda: box["report"])
+        engine._live = live
+        try:
+            box["report"] = engine.run()
+        finally:
+            engine._live = None
+
+    return StreamHandle(run, capacity, lambda: box["report"], pushes=True)
 
 
-def run_available(spark: SparkSession, path: str, schema: StructType, transform: Callable[[DataFrame], DataFrame], files_per_batch: int | None = None, output: str = "append") -> DataFrame:
-    """Reads what is in a folder (or file) as a stream, in batches, into a table of the shared folder, and returns it. The query's
-    own checkpoint stands beside it, so that a run that was ended goes on where it was."""
+def run_available(spark: SparkSession, path: str, schema: StructType, transform: Callable[[DataFrame], DataFrame], files_per_batch: int | None = None, output: str = "append", folder: str | None = None) -> DataFrame:
+    """Reads what is in a folder (or file) as a stream, in batches, into a table of ``folder``, and returns it. The query's
+    own checkpoint stands beside it: the next call with the same folder goes on where this one ended, or was ended. Without one it is
+    a new folder in the shared one, which no other call goes on with."""
     reader = spark.readStream.schema(schema).format("parquet")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    where = new_path(spark, "stream")
+    where = folder.rstrip("/") if folder else new_path(spark, "stream")
     query = transform(reader.load(path)).writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").outputMode(output).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{where}/out")
@@ -104,20 +115,24 @@ def stream_first_seen(frame: DataFrame, keys: list[str], event_time: str | None
     return frame.dropDuplicates(keys)
 
 
-def reduce_available(spark: SparkSession, path: str, schema: StructType, transform: Callable[[DataFrame], DataFrame], files_per_batch: int | None = None) -> DataFrame:
-    """A router over a stream: ``transform`` ends in an aggregation, whose state is kept between batches; returns its last result."""
+def reduce_available(spark: SparkSession, path: str, schema: StructType, transform: Callable[[DataFrame], DataFrame], files_per_batch: int | None = None, folder: str | None = None) -> DataFrame:
+    """A router over a stream: ``transform`` ends in an aggregation, whose state is kept between batches (and, with a ``folder``, between
+    calls); returns its last result."""
     reader = spark.readStream.schema(schema).format("parquet")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    where = new_path(spark, "stream")
+    where = folder.rstrip("/") if folder else new_path(spark, "stream")
     last: list[str] = []
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{where}/out-{number}")  # repeated after a failure: the same place again
-        last[:] = [f"{where}/out-{number}"]
+        batch.write.mode("overwrite").parquet(f"{where}/out/{number:012d}")  # repeated after a failure: the same place again
+        last[:] = [f"{where}/out/{number:012d}"]
 
     query = transform(reader.load(path)).writeStream.outputMode("complete").option("checkpointLocation", f"{where}/state").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
+    if not last:  # nothing new: the last result of an earlier call
+        fs, p = hadoop_path(spark, f"{where}/out")
+        last = [max(str(f.getPath()) for f in fs.listStatus(p))]
     return spark.read.parquet(*last)
 
 
