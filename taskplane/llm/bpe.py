@@ -1,8 +1,9 @@
 """BPE encoding and decoding: merge ranks in a priority queue over a doubly linked list of symbols.
 
 The vocabulary file (``tokenizers`` JSON, BPE with a word-end suffix) is a parameter and is read by the executors
-once per Python worker. Distinct words are encoded once per task and kept in a bounded table. Texts outside ASCII are normalised
-and split by the vocabulary's own rules in its own library, whose Unicode tables are not Python's; the merges are made here.
+once per Python worker. Distinct words are encoded once per task and kept in a bounded table. Texts with letters beyond the common
+European ones are normalised and split by the vocabulary's own rules in its own library, whose Unicode tables are not Python's; the
+merges are made here.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -22,6 +24,9 @@ from tokenizers import Regex, Tokenizer, pre_tokenizers
 from . import kernels as K
 from .scratch import bound_batches
 
+#: Texts of which no character has another form in NFC and all have the same class in every version of Unicode (fixed ranges): ASCII, Latin,
+#: Greek and Cyrillic letters, dashes and quotation marks. No white space outside ASCII is among them.
+_COMMON = re.compile("[\x00-\x7f\xa1-\u017e\u0388-\u038a\u038e-\u03a1\u03a3-\u03ce\u0410-\u044f\u2010-\u2027]*").fullmatch
 #: Words kept by a task before its table starts anew.
 CACHE_WORDS = 300_000
 
@@ -62,7 +67,7 @@ class WordBpe:
             self._right.append(self.vocab[b])
             self._made.append(self.vocab[a + b])
         split = next(t for t in spec["pre_tokenizer"]["pretokenizers"] if t["type"] == "Split")
-        self._ascii_words = regex.compile(split["pattern"]["Regex"]).findall
+        self._common_words = regex.compile(split["pattern"]["Regex"]).findall
         self._split = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), split["behavior"].lower(), split["invert"]).pre_tokenize_str
         self._normalise = Tokenizer.from_file(path).normalizer.normalize_str
         self._special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
@@ -120,7 +125,9 @@ class WordBpe:
     def words(self, text: str) -> list[str]:
         """The words whose symbols are merged: normalised, without the white space between them."""
         if text.isascii():
-            return self._ascii_words(text.lower())
+            return self._common_words(text.lower())
+        if _COMMON(text):
+            return self._common_words(text.replace("Σ", "σ").lower())  # each letter by itself, wherever it stands
         return [w for w, _ in self._split(self._normalise(text))]
 
     def both(self, text: str) -> tuple[bytes, str]:
