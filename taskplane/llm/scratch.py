@@ -41,10 +41,10 @@ class Scratch:
         self._names.append(name)
         return f"{self.path}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         where = self.location(name)
         schema = df.schema
-        df.write.mode("overwrite").parquet(where)
+        df.write.mode("overwrite").parquet(where, compression=compression)
         return self.spark.read.schema(schema).parquet(where)
 
     def drop(self, *names: str) -> None:

@@ -68,11 +68,29 @@ def byte_stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
+def _lists(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows one after the other, and offsets of the rows; the rows are lists of integers or ids as bytes of dtype."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        data, offsets = K.flatten(column.fill_null(b""))
+        return data.view(dtype) if data.ctypes.data % np.dtype(dtype).itemsize == 0 else np.frombuffer(data.tobytes(), dtype), offsets // np.dtype(dtype).itemsize
+    if column.null_count:
+        column = pa.array(column.to_pylist(), column.type) if column.offset else column
+        lengths = np.asarray(column.value_lengths().fill_null(0), dtype=np.int64)
+        values, offsets = column.flatten(), np.concatenate(([0], np.cumsum(lengths)))
+    else:
+        offsets = np.asarray(column.offsets, dtype=np.int64)
+        values, offsets = column.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets - offsets[0]
+    if values.null_count:
+        there = np.asarray(values.is_valid())
+        offsets = np.concatenate(([0], np.cumsum(there)))[offsets]
+        values = values.drop_null()
+    return np.asarray(values), offsets
+
+
 def id_stream(column: pa.Array, end: int, dtype: str) -> tuple[np.ndarray, np.ndarray]:
-    """The same for lists of ids."""
-    offsets = np.asarray(column.offsets, dtype=np.int64)
-    values, n = np.asarray(column.values)[offsets[0] : offsets[-1]], len(column)
-    offsets = offsets - offsets[0]
+    """The same for rows of ids."""
+    values, offsets = _lists(column, dtype)
+    n = len(offsets) - 1
     out = np.full(values.size + n, end, dtype=dtype)
     body = np.ones(out.size, dtype=bool)
     body[offsets[1:] + np.arange(n)] = False
@@ -83,9 +101,10 @@ def id_stream(column: pa.Array, end: int, dtype: str) -> tuple[np.ndarray, np.nd
 _encodings: dict[str, object] = {}
 
 
-def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and ids (array<int>) of the column text by a ``.tiktoken`` file of ranks and its pattern for words; special strings are
-    ordinary text. Null and empty texts have no ids; a row gives a row; other columns are not read."""
+def encode_ids(docs: DataFrame, path: str, pattern: str, dtype: str | None = None) -> DataFrame:
+    """doc_id and ids (array<int>, or with ``dtype`` the bytes of such integers) of the column text by a ``.tiktoken`` file of ranks and its
+    pattern for words; special strings are ordinary text. Null and empty texts have no ids; a row gives a row; other columns are not
+    read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encodings:
@@ -97,13 +116,16 @@ def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         encode = _encodings[path].encode_to_numpy
         for batch in batches:
             for part in K.slices(batch, 1):
-                ids = [encode(t.as_py() or "", disallowed_special=()).astype(np.int32) for t in part.column(1)]
+                ids = [encode(t.as_py() or "", disallowed_special=()).astype(dtype or np.int32) for t in part.column(1)]
+                if dtype:
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "ids"])
+                    continue
                 offsets = np.concatenate(([0], np.cumsum([x.size for x in ids]))).astype(np.int32)
                 values = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "ids"])
 
     bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, ids {'binary' if dtype else 'array<int>'}")
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -114,7 +136,7 @@ def write_order(docs: DataFrame, folder: str, key: int, length: int = LENGTH, sh
     """Writes the shards of docs to ``folder`` and returns a row for each sequence: slot, shard, byte_offset, doc_ids,
     starts (the places in the sequence at which the documents begin; negative: it began in an earlier one), crc32.
 
-    ``ids`` names a column of token ids (an array of integers), written as ``dtype`` (uint16 or uint32, little-endian) with ``end``
+    ``ids`` names a column of token ids (an array of integers, or their bytes in ``dtype``), written as ``dtype`` (uint16 or uint32, little-endian) with ``end``
     after each document and ``pad`` behind the last sequence of a partition (by default the two greatest values of dtype); an id that
     does not fit or equals one of the two is an error. Without ``ids`` the bytes of the column text are the tokens.
 
@@ -127,18 +149,26 @@ def write_order(docs: DataFrame, folder: str, key: int, length: int = LENGTH, sh
     spark = docs.sparkSession
     if ids is None:
         dtype, end, pad = "uint8", END, PAD
-        texts, count, stream = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), F.octet_length("text"), byte_stream
+        texts, stream = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), byte_stream
+        sizes = texts.select(F.spark_partition_id().alias("p"), (F.octet_length("text") + 1).cast("long").alias("n"), F.lit(0).alias("wrong"))
     else:
         most = int(np.iinfo(dtype).max)
         end, pad = most if end is None else end, most - 1 if pad is None else pad
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array_compact(F.coalesce(F.col(ids).cast("array<long>"), F.array().cast("array<long>"))).alias("ids"))
-        count, stream = F.size("ids"), lambda column: id_stream(column, end, dtype)
-        wrong = F.col("ids").isNotNull() & (F.exists("ids", lambda i: (i < 0) | (i > most) | (i == end) | (i == pad)))
-        bad = texts.agg(F.sum(wrong.cast("long"))).first()[0]
-        if bad:
-            raise ValueError(f"{bad} documents have ids that are not in {dtype} or are the end or the padding")
+        texts, stream = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(ids).alias("ids")), lambda column: id_stream(column, end, dtype)
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            p, n, wrong = TaskContext.get().partitionId(), 0, 0
+            for batch in batches:
+                values, offsets = _lists(batch.column(0), dtype)
+                n += values.size + len(offsets) - 1
+                wrong += int(((values < 0) | (values > most) | (values == end) | (values == pad)).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([n], pa.int64()), pa.array([wrong], pa.int64())], names=["p", "n", "wrong"])
+
+        sizes = texts.select("ids").mapInArrow(measure, "p int, n long, wrong long").where("n > 0")
     width = np.dtype(dtype).itemsize
-    sizes = texts.select(F.spark_partition_id().alias("p"), (count + 1).cast("long").alias("n")).groupBy("p").agg(F.sum("n").alias("n")).collect()  # a row a partition
+    sizes = sizes.groupBy("p").agg(F.sum("n").alias("n"), F.sum("wrong").alias("wrong")).collect()  # a row a partition
+    if bad := sum(r["wrong"] for r in sizes):
+        raise ValueError(f"{bad} ids are not in {dtype} or are the end or the padding")
     size = {r["p"]: int(r["n"]) for r in sizes}
     first, total = {}, 0
     for p in sorted(size):
@@ -168,7 +198,7 @@ def write_order(docs: DataFrame, folder: str, key: int, length: int = LENGTH, sh
             runs = np.append(first, count)
             lists = lambda at, values: pa.ListArray.from_arrays(at.astype(np.int32), values)
             return pa.RecordBatch.from_arrays(
-                [pa.array(shard.astype(np.int32)), pa.array([zstandard.compress(rows[i:j].tobytes(), 1) for i, j in zip(runs, runs[1:])], pa.binary()), lists(runs, pa.array(slot)), lists(runs, pa.array(b - a)),
+                [pa.array(shard.astype(np.int32)), pa.array([zstandard.compress(rows[i:j].tobytes(), 3) for i, j in zip(runs, runs[1:])], pa.binary()), lists(runs, pa.array(slot)), lists(runs, pa.array(b - a)),
                  lists(docs[runs], pa.array(ids[pick], mask=null[pick])), lists(docs[runs], pa.array(starts[pick] - np.repeat(lo, b - a)))],
                 names=["shard", "tokens", "slots", "counts", "doc_ids", "starts"],
             )
