@@ -18,14 +18,17 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: Rows that the centroids are fitted on (the least by a hash of vec_id), most lists, rounds of k-means.
-FIT_ROWS, MOST_LISTS, FIT_ROUNDS = 16_384, 4096, 12
+#: Rows that the centroids are fitted on (the least by a hash of the vector) and their bytes, most lists, rounds of k-means. The driver
+#: holds some copies of the sample, so that wide vectors (over 256 dimensions) get fewer rows; four rows a list at least.
+FIT_ROWS, FIT_BYTES, MOST_LISTS, FIT_ROUNDS = 16_384, 1 << 25, 4096, 12
 #: Recall that the number of probed lists is set for, on as many rows of the sample as queries.
 RECALL, TRIALS = 0.96, 256
 #: Vectors of a segment and queries of a block: what one step of the scan holds.
 SEGMENT, QUERIES = 2048, 1024
 #: Share of pairs below which distances are added up pair by pair.
 FEW = 0.02
+#: Dimensions that one matrix rotates; distances of rows and centroids that are held at a time.
+TURN, HELD = 512, 1 << 22
 #: Partial answers that a task joins at a time.
 FLUSH = 100_000
 #: Column blocks end at these dimensions (fixed values) and at the last one; the test's tolerance.
@@ -37,7 +40,24 @@ def rotation(d: int, seed: int = 5) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def lift(x: np.ndarray, most: float | None, turn: np.ndarray) -> np.ndarray:
+class WideRotation:
+    """``x @ WideRotation(d)`` rotates d dimensions with matrices of TURN² numbers instead of d²: twice, the dimensions are shuffled and
+    then rotated in blocks, so that the second time each block holds parts of all blocks of the first."""
+
+    __array_ufunc__ = None  # numpy leaves x @ self to __rmatmul__
+
+    def __init__(self, d: int, seed: int = 5):
+        rng = np.random.default_rng(seed)
+        self.rounds = [np.array_split(rng.permutation(d), -(-d // TURN)) for _ in range(2)]
+        self.turns = {n: rotation(n, seed) for n in {len(block) for block in self.rounds[0]}}
+
+    def __rmatmul__(self, x: np.ndarray) -> np.ndarray:
+        for blocks in self.rounds:
+            x = np.hstack([x[:, block] @ self.turns[len(block)] for block in blocks])
+        return x
+
+
+def lift(x: np.ndarray, most: float | None, turn: np.ndarray | WideRotation) -> np.ndarray:
     """Rotated vectors with one more dimension: what makes all of one length, or 0 for queries (most is None). The distance of a
     query and a vector is then |q|^2 + most^2 - 2 q.x."""
     rest = np.zeros(len(x)) if most is None else np.sqrt(np.maximum(most**2 - np.einsum("ij,ij->i", x, x), 0))
@@ -60,14 +80,15 @@ def nearest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     """The n nearest centroids of each row, nearest first."""
     out = np.empty((len(x), n), dtype=np.int64)
     norm = np.einsum("ij,ij->i", c, c)
-    for i in range(0, len(x), 4096):
-        d = norm - 2 * x[i : i + 4096] @ c.T
+    step = max(1, min(4096, HELD // max(1, len(c))))
+    for i in range(0, len(x), step):
+        d = norm - 2 * x[i : i + step] @ c.T
         near = np.argpartition(d, min(n, d.shape[1]) - 1, axis=1)[:, :n]
-        out[i : i + 4096] = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
+        out[i : i + step] = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
     return out
 
 
-def probes_for(sample: np.ndarray, lifted: np.ndarray, centroids: np.ndarray, turn: np.ndarray, k: int, recall: float) -> int:
+def probes_for(sample: np.ndarray, lifted: np.ndarray, centroids: np.ndarray, turn: np.ndarray | WideRotation, k: int, recall: float) -> int:
     """Lists to probe so that ``recall`` of the sample's own nearest neighbours stand in them. Among more rows the neighbours are
     nearer, so that this errs on the side of too many."""
     n = len(sample)
@@ -148,8 +169,8 @@ def search(table: DataFrame, k: int = 20, is_query=lambda vec_id: vec_id % 20 ==
 
     ``table`` has (vec_id, embedding). Rows that ``usable_vectors`` leaves out take no part; a repeated (vec_id, embedding) counts once,
     a vec_id with several vectors is a row and a query for each. Equal vectors are scanned once: only their k + 1 smallest ids
-    can be in an answer, so that keeping those loses nothing. The index is fitted on at most FIT_ROWS rows and holds every
-    vector; lists are cut into segments and their queries into blocks, so that a hot list is spread over tasks.
+    can be in an answer, so that keeping those loses nothing. The index is fitted on at most FIT_ROWS rows of FIT_BYTES in all and
+    holds every vector; lists are cut into segments and their queries into blocks, so that a hot list is spread over tasks.
     No usable rows give an empty result; other columns are not read.
     """
     spark = table.sparkSession
@@ -170,8 +191,9 @@ def search(table: DataFrame, k: int = 20, is_query=lambda vec_id: vec_id % 20 ==
     n = vectors.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = _matrix(vectors.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(FIT_ROWS).toArrow()["vec"].combine_chunks())  # FIT_ROWS rows at most
-    d = sample.shape[1]
+    d = vectors.select(F.length("vec")).first()[0] // 8
+    fit = max(2, min(FIT_ROWS, FIT_BYTES // (8 * d)))
+    sample = _matrix(vectors.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(fit).toArrow()["vec"].combine_chunks())  # FIT_BYTES at most
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,9 +201,9 @@ def search(table: DataFrame, k: int = 20, is_query=lambda vec_id: vec_id % 20 ==
             yield pa.RecordBatch.from_arrays([pa.array([float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0)))])], names=["m"])
 
     most = vectors.select("vec").mapInArrow(norms, "m double").agg(F.max("m")).first()[0] * (1 + 1e-12)
-    turn = rotation(d + 1)
+    turn = rotation(d + 1) if d < TURN else WideRotation(d + 1)
     lifted = lift(sample, most, turn)
-    centroids = k_means(lifted, int(np.clip(round(np.sqrt(n) / 2), 1, MOST_LISTS)))
+    centroids = k_means(lifted, int(np.clip(round(np.sqrt(n) / 2), 1, max(1, min(MOST_LISTS, len(sample) // 4)))))
     probes = probes_for(sample, lifted, centroids, turn, k, recall)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
