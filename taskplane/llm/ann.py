@@ -284,7 +284,8 @@ def search(table: DataFrame, k: int = 20, is_query=lambda vec_id: vec_id % 20 ==
         order = np.lexsort((who, -score))[:k]
         return pa.table([pa.array(np.full(order.size, part["query_id"][0].as_py())), pa.array(np.arange(1, order.size + 1, dtype=np.int32)), pa.array(who[order]), pa.array(score[order])], names=["query_id", "rank", "vec_id", "score"])
 
-    near = segments.join(blocks, ["list", "segment"]).select("original", "columns", "ids", "q_original", "q_turned", "queries").mapInArrow(compare, "query_id long, ids array<long>, scores array<double>")
+    # both sides are shuffled: Spark sizes the queries as before they are exploded to lists and segments, and would broadcast them
+    near = segments.hint("merge").join(blocks.hint("merge"), ["list", "segment"]).select("original", "columns", "ids", "q_original", "q_turned", "queries").mapInArrow(compare, "query_id long, ids array<long>, scores array<double>")
     # a task's partial answers of a query are joined before the shuffle
     partial = near.mapInArrow(_joined(k), "query_id long, ids array<long>, scores array<double>")
     out = partial.groupBy("query_id").applyInArrow(merge, "query_id long, rank int, vec_id long, score double")
