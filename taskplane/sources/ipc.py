@@ -10,18 +10,34 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(~F.col("path").rlike(r"/[_.][^/]*$"))
 
 
-def read_ipc(spark: SparkSession, path: str, chunk_rows: int = 8192) -> DataFrame:
-    """Rows of one file or of all files below a folder; the schema is the first file's. Files may have up to 2 GB each."""
-    first = _files(spark, path).orderBy("path").select("content").first()
+def _first_schema(spark: SparkSession, path: str) -> StructType:
+    """The schema of the first file by path. One task reads that file, and of contents nothing comes to the driver."""
+    files = _files(spark, path)
+    first = files.agg(F.min_by("_metadata.file_path", "path")).first()[0]  # lists files without reading them
     if first is None:
         raise FileNotFoundError(path)
-    schema = from_arrow_schema(pa.ipc.open_file(pa.BufferReader(bytes(first["content"]))).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0):
+                schema = pa.ipc.open_file(pa.BufferReader(blob.as_buffer())).schema
+                yield pa.RecordBatch.from_arrays([pa.array([schema.serialize().to_pybytes()], pa.binary())], names=["schema"])
+
+    # Spark leaves out the other files by their metadata
+    found = files.where(F.col("_metadata.file_path") == first).select("content").mapInArrow(run, "schema binary").first()
+    return from_arrow_schema(pa.ipc.read_schema(pa.BufferReader(bytes(found["schema"]))))
+
+
+def read_ipc(spark: SparkSession, path: str, chunk_rows: int = 8192) -> DataFrame:
+    """Rows of one file or of all files below a folder; the schema is the first file's. Files may have up to 2 GB each."""
+    schema = _first_schema(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
